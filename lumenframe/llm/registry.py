@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import mixing
+from lumenframe.llm import bpe, mixing, quality, urlfilter
 
-MODULES = [mixing]
+MODULES = [urlfilter, quality, bpe, mixing]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
