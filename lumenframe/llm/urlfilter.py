@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.bloom import BLOCKS, build_bloom, pass_bloom
 from lumenframe.llm.scratch import materialize
 
 #: (verdict, host, path) of the registered query.
@@ -33,7 +34,6 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCKS = 1 << 14
 LISTING = "verdict string, host string, path string"
 
 
@@ -47,31 +47,6 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
 
 
-def bloom_place(key: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The key's block, and for each of the block's four words the bit that it sets."""
-    h, g = F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)
-    bit = lambda k: F.shiftrightunsigned(g, 6 * k).bitwiseAND(F.lit(63)).cast("int")
-    one = F.lit(1).cast("long")
-    return F.pmod(h, F.lit(blocks)).cast("int"), [F.call_function("shiftleft", one, bit(k)) for k in range(4)]
-
-
-def build_bloom(keys: DataFrame, column: str, blocks: int = BLOCKS) -> DataFrame:
-    """At most ``blocks`` rows: block, w0 to w3."""
-    block, words = bloom_place(F.col(column), blocks)
-    return keys.groupBy(block.alias("block")).agg(*[F.bit_or(w).alias(f"w{k}") for k, w in enumerate(words)])
-
-
-def pass_bloom(rows: DataFrame, column: str, bloom: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """The rows whose key may be listed. The broadcast side has ``blocks`` rows of 36 bytes at most."""
-    block, words = bloom_place(F.col(column), blocks)
-    hit = None
-    for k, w in enumerate(words):
-        set_ = F.col(f"w{k}").bitwiseAND(w) != 0
-        hit = set_ if hit is None else hit & set_
-    joined = rows.withColumn("block", block).join(F.broadcast(bloom), "block").where(hit)
-    return joined.drop("block", "w0", "w1", "w2", "w3")
-
-
 def listing_keys(listing: DataFrame) -> DataFrame:
     """key, rule, verdict, length, labels, path_length: one row per entry; block wins over allow."""
     host = F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER)
