@@ -196,18 +196,17 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode_documents(..., decoded=True)``."""
+def with_digests(encoded: DataFrame) -> DataFrame:
+    """``encode_documents(..., decoded=True)`` with n_tokens, ids_sha256 and decoded_sha256."""
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return encoded.withColumns({
+        "n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(listed, 256), "decoded_sha256": F.sha2("decoded", 256),
+    })
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode_documents(docs, decoded=True))
+    return with_digests(encode_documents(docs, decoded=True)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES = {"op7_bpe": op7_bpe}
