@@ -1,4 +1,4 @@
-"""Connected components by least labels with pointer jumping."""
+"""Connected components by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -11,24 +11,26 @@ from lumenframe.llm.scratch import discard, materialize
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of the ends of ``links`` (columns x and y).
 
-    Each round gives every node the least label among its neighbours', then the label's own label,
-    which halves the distances to the least node. Labels live in tables in the shared folder; the
-    driver only sees how many changed.
+    A large star ties each node's larger neighbours to the smallest one, a small star its smaller
+    neighbours and itself; equal ties fold, so a dense group shrinks to a star within a few rounds
+    and the ties never grow in number. Ties live in tables in the shared folder; the driver only
+    sees a count and a checksum, which no longer change at the end.
     """
-    both = links.select(F.col("x").alias("node"), F.col("y").alias("near")).union(links.select("y", "x")).distinct()
-    both = materialize(both, "cc-links")
-    labels = both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("component"))
-    labels = materialize(labels, "cc-labels")
+    ties = links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct()
+    ties, last = materialize(ties, "cc-ties"), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("component").alias("least"))
-        step = labels.join(near, "node").select("node", "component", F.least("component", "least").alias("least"))
-        jump = labels.select(F.col("node").alias("least"), F.col("component").alias("next"))
-        step = step.join(jump, "least", "left").select("node", F.least("least", F.coalesce("next", "least")).alias("component"), (F.least("least", F.coalesce("next", "least")) < F.col("component")).alias("moved"))
-        step = materialize(step, "cc-labels")
-        moved = step.where("moved").limit(1).count()
-        discard(labels)
-        labels = step
-        if not moved:
+        both = ties.union(ties.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "_u")
+        large = ties.join(least, F.col("v") == F.col("_u")).select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "cc-ties")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
+        small = large.join(least, (F.col("u") == F.col("_u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = materialize(small.union(least.select("_u", "m")).distinct(), "cc-ties")
+        mark = small.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        discard(large)
+        discard(ties)
+        ties = small
+        if mark == last:
             break
-    discard(both)
-    return labels.drop("moved")
+        last = mark
+    return ties.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ties.select("v", "v").distinct())
