@@ -8,7 +8,8 @@
    and a histogram of the sets (which bounds how far they differ beyond it) exclude pairs.
 4. Joining all pairs of a shingle would grow with the square of a group of near copies. So each
    class is first compared with one pivot of each of its prefix shingles, which is linear, and
-   the links found are closed to components. Then all pairs of a shingle that lie in different
+   the links found are closed to components. The pivot is the class with fewest rarer shingles,
+   so the one nearest to what a group of near copies was made from. Then all pairs of a shingle that lie in different
    components are compared, which needs one of them to be outside the pivot's component; pairs
    inside one component cannot change it. No link between components is lost.
 5. A pair is verified once, on the sets built from the whole texts.
@@ -173,7 +174,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     shared = index.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("short")
     held = materialize(index.withColumn("short", short).join(shared, "short", "left_semi").drop("short"), "jaccard-shared")
     discard(index)
-    pivots = held.groupBy("gram").agg(F.min_by(F.struct("doc_id", "n", "pos", "hist"), F.struct(F.xxhash64("doc_id"), "doc_id")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    pivots = held.groupBy("gram").agg(F.min_by(F.struct("doc_id", "n", "pos", "hist"), F.struct("pos", F.xxhash64("doc_id"), "doc_id")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
     pivots = materialize(pivots.select("gram", "p.*"), "jaccard-pivots")
     pair = lambda a, b: (F.least(F.col(f"{a}.doc_id"), F.col(f"{b}.doc_id")).alias("x"), F.greatest(F.col(f"{a}.doc_id"), F.col(f"{b}.doc_id")).alias("y"))
     star = held.alias("a").join(pivots.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.doc_id") != F.col("b.doc_id")) & may_link("a", "b", percent))
