@@ -77,8 +77,8 @@ def test_late_rows_are_dropped(spark, tmp_path):
     import datetime as dt
 
     at = lambda h: dt.datetime(2024, 1, 1 + h // 24, h % 24)
-    for i, rows in enumerate([[(1, at(1), "a", 1.0)], [(2, at(60), "a", 1.0)], [(3, at(2), "a", 1.0), (4, at(70), "a", 1.0)], [(5, at(200), "a", 1.0)]]):
+    for i, rows in enumerate([[(1, at(1), "a", 1.0)], [(2, at(60), "a", 1.0)], [(6, at(61), "a", 1.0)], [(3, at(2), "a", 1.0), (4, at(70), "a", 1.0)], [(5, at(200), "a", 1.0)]]):
         frame(spark, rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/batch={i}"))
     stream = open_stream(spark, str(tmp_path / "in"), max_files=1)
     got = run_to_end(windowed_counts(stream, "1 hour", late="5 hours"))
-    assert sorted((r.start.hour, r.n) for r in got.collect()) == [(1, 1), (12, 1), (22, 1)]
+    assert sorted((r.start.hour, r.n) for r in got.collect()) == [(1, 1), (12, 1), (13, 1), (22, 1)]
