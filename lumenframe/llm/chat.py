@@ -58,25 +58,26 @@ def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     me = messages.select("tree", "message", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = me.select("tree", F.col("message").alias("parent"), F.lit(True).alias("_there"))
     me = me.join(known, ["tree", "parent"], "left")
-    # up: the 2^k-th ancestor, null past the root; depth and total cover the messages up to it
-    step = materialize(me.select("tree", "message", F.when(F.col("_there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat-jump")
-    jumps = [step]
-    longest = step.where("up is not null").count()
-    while step.where("up is not null").limit(1).count():
-        if (1 << (len(jumps) - 1)) > longest:  # only cycles still climb
-            step = step.where("up is null")
-            break
-        far = step.select("tree", F.col("message").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        joined = step.join(far, ["tree", "up"], "left")
-        step = materialize(joined.select("tree", "message", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "chat-jump")
-        jumps.append(step)
-    parents = jumps[0].where("up is not null").select("tree", F.col("up").alias("message"))
-    leaves = step.join(parents, ["tree", "message"], "left_anti")
+    # up: the 2^k-th ancestor, null past the root; depth and total cover the messages up to it. Each
+    # level holds the messages that had an ancestor so far up on the level before.
+    step = me.select("tree", "message", F.when(F.col("_there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    levels = [materialize(step, "chat-jump")]
+    ended = levels[0].where("up is null")
+    most = levels[0].count()
+    while levels[-1].where("up is not null").limit(1).count() and (1 << (len(levels) - 1)) <= most:  # beyond, only cycles climb
+        climbing = levels[-1].where("up is not null")
+        far = climbing.union(ended).select("tree", F.col("message").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        joined = climbing.join(far, ["tree", "up"])
+        step = joined.select("tree", "message", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
+        levels.append(materialize(step, "chat-jump"))
+        ended = ended.union(levels[-1].where("up is null"))
+    parents = levels[0].where("up is not null").select("tree", F.col("up").alias("message"))
+    leaves = ended.join(parents, ["tree", "message"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), F.asc("message"))
     found = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= per_tree)
     paths = materialize(found.select("tree", F.col("message").alias("leaf"), "branch", "depth", "message", F.lit(0).cast("long").alias("back")), "chat-path")
-    for k in reversed(range(len(jumps) - 1)):
-        jump = jumps[k].where("up is not null").select("tree", "message", "up")
+    for k in reversed(range(len(levels) - 1)):
+        jump = levels[k].where("up is not null").select("tree", "message", "up")
         climbed = paths.where(F.col("back") + (1 << k) < F.col("depth")).join(jump, ["tree", "message"])
         climbed = climbed.select("tree", "leaf", "branch", "depth", F.col("up").alias("message"), (F.col("back") + (1 << k)).alias("back"))
         longer = materialize(paths.unionByName(climbed), "chat-path")
