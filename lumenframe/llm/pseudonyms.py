@@ -122,7 +122,8 @@ def permute_text(key: str, kind: str, x: str, hexadecimal: bool = False) -> str:
     """A Feistel network on a string's halves: rounds shift one half's characters within their
     alphabets by keyed bytes of the other half. Character classes keep their places."""
     up = f"({x} = upper({x}))"
-    hashed = lambda half: f"sha2(concat_ws('|', {quoted(key)}, '{kind}', k, {half}), 256)"
+    same = "lower({})" if hexadecimal else "{}"  # hexadecimal digits are equal in either case
+    hashed = lambda half: f"sha2(concat_ws('|', {quoted(key)}, '{kind}', k, {same.format(half)}), 256)"
     left = with_let(hashed("p.r"), "h", shift_text("p.l", "h", hexadecimal))
     right = with_let(hashed("p.l"), "h", shift_text("p.r", "h", hexadecimal))
     half = f"cast(length({x}) div 2 as int)"
@@ -219,18 +220,18 @@ def pseudonym(key: str) -> str:
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, count_col: str | None = None) -> DataFrame:
     """``docs`` with its text's personal values replaced; ``count_col`` names a column for their number."""
-    c = f"`{text_col}`"
-    rest = [F.col(f"`{x}`") for x in docs.columns if x != text_col and x != count_col]
-    some = F.col(c).rlike("[0-9@:=]")
-    step = docs.select(*rest, F.col(c).alias("_t"), F.when(some, F.regexp_extract_all(c, F.lit(ANY), F.lit(0))).alias("_m"))
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_t")
+    step = docs.select(row, text)
+    some = F.col("_t").rlike("[0-9@:=]")
+    step = step.withColumn("_m", F.when(some, F.regexp_extract_all("_t", F.lit(ANY), F.lit(0))))
     step = step.withColumn("_n", F.when(F.size("_m") > 0, F.expr(f"transform(_m, m -> {pseudonym(key)})")))
     gaps = F.split("_t", ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, "_n", lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
     changed = F.when(F.col("_n").isNull(), F.col("_t")).otherwise(joined)
-    same = F.size(F.filter(F.arrays_zip("_m", "_n"), lambda z: z["_m"] != z["_n"]))
-    out = [changed.alias(text_col) if x == text_col else F.col(f"`{x}`") for x in docs.columns if x != count_col]
+    new = F.size(F.filter(F.arrays_zip("_m", "_n"), lambda z: z["_m"] != z["_n"]))
+    out = [changed.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c != count_col]
     if count_col:
-        out.append(F.when(F.col("_n").isNull(), 0).otherwise(same).cast("long").alias(count_col))
+        out.append(F.when(F.col("_n").isNull(), 0).otherwise(new).cast("long").alias(count_col))
     return step.select(*out)
 
 
