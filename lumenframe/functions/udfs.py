@@ -34,9 +34,15 @@ def plus_tax(price: pd.Series, tax: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def halved(x: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in x:
-        yield batch / 2
+def halved(x: pd.Series) -> pd.Series:
+    return x / 2
+
+
+@F.pandas_udf(T.DoubleType())
+def doubled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Takes an iterator, so that costly preparation is done once per task."""
+    for x in batches:
+        yield x * 2
 
 
 @F.pandas_udf(T.DoubleType())

@@ -102,3 +102,29 @@ def io_insert_into(spark, sf_dir):
 def io_views(spark, sf_dir):
     register(spark, sf_dir, ("region", "nation"))
     return spark.sql("SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+def io_recover_partitions(spark, sf_dir):
+    """A catalog table over folders that were written before it; the catalog learns its partitions."""
+    path = f"{work_dir(spark)}/nation"
+    write(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, partition_by=("n_regionkey",))
+    spark.sql("DROP TABLE IF EXISTS lumen_parts")
+    spark.sql(f"CREATE TABLE lumen_parts (n_nationkey INT, n_name STRING, n_regionkey INT) USING parquet PARTITIONED BY (n_regionkey) LOCATION '{path}'")
+    spark.sql("ALTER TABLE lumen_parts RECOVER PARTITIONS")
+    return spark.table("lumen_parts").where("n_regionkey = 2")
+
+
+@query("SELECT n_nationkey::VARCHAR AS k, n_name AS name FROM nation")
+def io_script_transform(spark, sf_dir):
+    """Rows through an external program."""
+    nation = table(spark, sf_dir, "nation")
+    return spark.sql("SELECT TRANSFORM(n_nationkey, n_name) ROW FORMAT DELIMITED FIELDS TERMINATED BY '\t' USING 'cat' AS (k STRING, name STRING) ROW FORMAT DELIMITED FIELDS TERMINATED BY '\t' FROM {nation}", nation=nation)
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def io_split_packing(spark, sf_dir):
+    """Many small files read in few splits."""
+    path = f"{work_dir(spark)}/orders"
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").repartition(24).write.parquet(path)
+    return read(spark, path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))

@@ -73,3 +73,14 @@ sql("date_current", "SELECT current_date() IS NOT NULL AS d, current_timestamp()
 sql("time_window", "SELECT window.start AS w, count(*) AS n FROM (SELECT window(ts, '6 hours') AS window FROM {events}) t GROUP BY window.start", "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, count(*) AS n FROM {events} GROUP BY 1")
 sql("misc_functions", "SELECT count(*) AS n, count(DISTINCT u) AS u, count(DISTINCT m) AS m, max(p) >= 0 AS p, max(length(f)) > 0 AS f, max(b) >= 0 AND max(l) > 0 AS b, max(c) IS NOT NULL AS c, max(d) IS NOT NULL AS d, max(v) IS NOT NULL AS v FROM (SELECT uuid() AS u, monotonically_increasing_id() AS m, spark_partition_id() AS p, input_file_name() AS f, input_file_block_start() AS b, input_file_block_length() AS l, current_catalog() AS c, current_database() AS d, version() AS v FROM {customer}) t", "SELECT count(*) AS n, count(*) AS u, count(*) AS m, true AS p, true AS f, true AS b, true AS c, true AS d, true AS v FROM {customer}")
 sql("misc_assert", "SELECT assert_true(n_nationkey >= 0) IS NULL AS ok, java_method('java.lang.Math', 'abs', -5) AS j, reflect('java.lang.Math', 'max', 2, 3) AS r FROM {nation}", "SELECT true AS ok, '5' AS j, '3' AS r FROM {nation}")
+# other names of functions
+sql("alias_math", "SELECT p_partkey, ceiling(p_retailprice) AS c, log(p_size) AS ln, round(log(2, p_size), 9) AS l2, mod(p_partkey, 7) AS m, signum(CAST(p_size - 20 AS DOUBLE)) AS s, negative(p_size) AS n, positive(p_size) AS p, p_partkey div 3 AS d, shiftrightunsigned(-p_partkey, 60) AS u, random(5) < 1 AS r, power(p_size, 2) AS w FROM {part}",
+    "SELECT p_partkey, CAST(ceil(p_retailprice) AS BIGINT) AS c, ln(p_size) AS ln, round(log2(p_size), 9) AS l2, p_partkey % 7 AS m, CAST(sign(p_size - 20) AS DOUBLE) AS s, -p_size AS n, p_size AS p, p_partkey // 3 AS d, CASE WHEN p_partkey = 0 THEN 0 ELSE 15 END::BIGINT AS u, true AS r, CAST(p_size * p_size AS DOUBLE) AS w FROM {part}")
+sql("alias_predicates", "SELECT n_name, isnull(nullif(n_regionkey, 1)) AS a, isnotnull(nullif(n_regionkey, 1)) AS b, `like`(n_name, 'NATION_1%') AS c, rlike(n_name, '_[12]$') AS d, `char`(66) AS e, n_name REGEXP '9' AS f, n_name == 'NATION_4' AS g, !(n_regionkey = 1) AS h, `in`(n_regionkey, 1, 2) AS i FROM {nation}",
+    "SELECT n_name, nullif(n_regionkey, 1) IS NULL AS a, nullif(n_regionkey, 1) IS NOT NULL AS b, n_name LIKE 'NATION_1%' AS c, regexp_matches(n_name, '_[12]$') AS d, 'B' AS e, contains(n_name, '9') AS f, n_name = 'NATION_4' AS g, n_regionkey <> 1 AS h, n_regionkey IN (1, 2) AS i FROM {nation}")
+sql("alias_aggregates", "SELECT l_returnflag, round(mean(l_quantity), 8) AS m, round(std(l_quantity), 8) AS s, round(stddev(l_quantity), 8) AS d, round(variance(l_quantity), 6) AS v, every(l_quantity > 0) AS e, any(l_quantity > 49) AS a, some(l_quantity > 60) AS o, abs(approx_percentile(l_quantity, 0.5) - 25.5) < 3 AS p FROM {lineitem} GROUP BY l_returnflag",
+    "SELECT l_returnflag, round(avg(l_quantity), 8) AS m, round(stddev_samp(l_quantity), 8) AS s, round(stddev_samp(l_quantity), 8) AS d, round(var_samp(l_quantity), 6) AS v, bool_and(l_quantity > 0) AS e, bool_or(l_quantity > 49) AS a, bool_or(l_quantity > 60) AS o, true AS p FROM {lineitem} GROUP BY l_returnflag")
+sql("alias_casts", "SELECT c_custkey, bigint(c_nationkey) AS a, int(c_acctbal) AS b, smallint(c_nationkey) AS c, tinyint(c_nationkey) AS d, float(c_acctbal) AS e, double(c_nationkey) AS f, string(c_custkey) AS g, boolean(c_nationkey) AS h, date('2024-01-02') AS i, CAST(timestamp('2024-01-02 03:04:05') AS TIMESTAMP_NTZ) AS j, decode(binary('x'), 'UTF-8') AS k, decimal(c_custkey) AS l FROM {customer}",
+    "SELECT c_custkey, c_nationkey::BIGINT AS a, trunc(c_acctbal)::INTEGER AS b, c_nationkey::SMALLINT AS c, c_nationkey::TINYINT AS d, c_acctbal::FLOAT AS e, c_nationkey::DOUBLE AS f, c_custkey::VARCHAR AS g, c_nationkey <> 0 AS h, DATE '2024-01-02' AS i, TIMESTAMP '2024-01-02 03:04:05' AS j, 'x' AS k, c_custkey::DECIMAL(10,0) AS l FROM {customer}")
+sql("make_timestamp_parts", "SELECT CAST(make_timestamp(2024, 2, 3, 4, 5, 6.5) AS TIMESTAMP_NTZ) AS t, CAST(make_timestamp(2024, 13, 3, 4, 5, 6) AS TIMESTAMP_NTZ) AS bad, CAST(TIMESTAMP'2024-02-03 00:00:00' + make_interval(0, 1, 0, 2, 3) AS TIMESTAMP_NTZ) AS i", "SELECT TIMESTAMP '2024-02-03 04:05:06.5' AS t, NULL::TIMESTAMP AS bad, TIMESTAMP '2024-03-05 03:00:00' AS i")
+sql("raise_error_guarded", "SELECT n_name, CASE WHEN n_nationkey < 0 THEN raise_error('negative') ELSE 'fine' END AS c FROM {nation}", "SELECT n_name, 'fine' AS c FROM {nation}")

@@ -25,6 +25,11 @@ def udf_arrow_chain(spark, sf_dir):
     return lineitem.select("l_orderkey", "l_linenumber", F.round(udfs.halved(udfs.plus_tax("l_extendedprice", "l_tax")), 6).alias("half"))
 
 
+@query("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer")
+def udf_iterator(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.doubled("c_acctbal").alias("twice"))
+
+
 @query("SELECT p_partkey, list_reduce(list_transform(string_split(p_name, ' '), lambda w: w[1]), lambda a, b: a || b) AS i FROM part")
 def udf_scalar(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", udfs.initials("p_name").alias("i"))

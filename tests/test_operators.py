@@ -82,3 +82,42 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = open_stream(spark, str(tmp_path / "in"), max_files=1)
     got = run_to_end(windowed_counts(stream, "1 hour", late="5 hours"))
     assert sorted((r.start.hour, r.n) for r in got.collect()) == [(1, 1), (12, 1), (13, 1), (22, 1)]
+
+
+def test_packing_reads_many_files_in_few_splits(spark, tmp_path):
+    spark.range(1000).repartition(24).write.parquet(str(tmp_path / "x"))
+    assert read(spark, str(tmp_path / "x")).rdd.getNumPartitions() < 12
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """A second run reads only what is new and keeps the first run's state."""
+    schema, place = "user_id long, value double", str(tmp_path / "state")
+
+    def run(i, rows):
+        frame(spark, rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/batch={i}"))
+        counted = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).groupBy("user_id").count()
+        seen = []
+        running = counted.writeStream.outputMode("update").option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(lambda df, n: seen.extend(tuple(r) for r in df.collect()))
+        running.start().awaitTermination()
+        return sorted(seen)
+
+    assert run(1, [(1, 0.0), (1, 0.0), (2, 0.0)]) == [(1, 2), (2, 1)]
+    assert run(2, [(2, 0.0)]) == [(2, 2)]
+
+
+def test_memory_and_rate_streams(spark):
+    running = spark.readStream.format("rate").option("rowsPerSecond", 50).load().selectExpr("value % 3 AS k").writeStream.format("memory").queryName("rated").start()
+    import time
+
+    for _ in range(40):
+        if spark.table("rated").count():
+            break
+        time.sleep(0.5)
+    running.stop()
+    assert {r.k for r in spark.table("rated").distinct().collect()} <= {0, 1, 2}
+
+
+@pytest.mark.parametrize("text", ["SELECT a.k FROM (SELECT 1 AS k) a WHERE k = (SELECT k FROM (VALUES (1), (2)) t(k))", "SELECT nothing FROM (SELECT 1 AS k) a", "SELECT k, sum(v) FROM (SELECT 1 AS k, 2 AS v) a", "SELECT count(sum(v)) FROM (SELECT 2 AS v) a"])
+def test_invalid_sql_is_refused(spark, text):
+    with pytest.raises(Exception):  # noqa: B017
+        spark.sql(text).collect()
