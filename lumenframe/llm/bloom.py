@@ -11,6 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS = 1 << 14
+#: More blocks than these are never made: 38 MB in all.
+MOST_BLOCKS = 1 << 20
+
+
+def blocks_for(keys: int) -> int:
+    """Blocks for about 16 bits a key, up to the bound."""
+    return min(MOST_BLOCKS, max(1 << 10, 1 << max(0, keys // 16).bit_length()))
 
 
 def bloom_place(key: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -50,13 +57,14 @@ def probed(rows: DataFrame, key: str, ids: DataFrame, blocks: int) -> DataFrame:
     return joined.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_at", "_block", "_w0", "_w1", "_w2", "_w3")
 
 
-def only(rows: DataFrame, key: str, ids: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """The rows whose key is among ``ids``; only possible hits are exchanged."""
-    return probed(rows, key, ids, blocks).where("_hit").drop("_hit").join(ids, key, "left_semi")
+def only(rows: DataFrame, key: str, ids: DataFrame, blocks: int | None = None) -> DataFrame:
+    """The rows whose key is among ``ids`` (a table already written); only possible hits are exchanged."""
+    return probed(rows, key, ids, blocks or blocks_for(ids.count())).where("_hit").drop("_hit").join(ids, key, "left_semi")
 
 
-def without(rows: DataFrame, key: str, ids: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """The rows whose key is not among ``ids``; only possible hits are exchanged."""
-    marked = probed(rows, key, ids, blocks)
+def without(rows: DataFrame, key: str, ids: DataFrame, blocks: int | None = None) -> DataFrame:
+    """The rows whose key is not among ``ids`` (a table already written); only possible hits are
+    exchanged."""
+    marked = probed(rows, key, ids, blocks or blocks_for(ids.count()))
     some = marked.where("_hit").drop("_hit").join(ids, key, "left_anti").select(*rows.columns)
     return marked.where("not _hit").drop("_hit").select(*rows.columns).union(some)

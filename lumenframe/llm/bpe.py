@@ -9,7 +9,8 @@ table of known words is emptied when it holds ``KNOWN`` of them.
 
 Defined cases: a null or empty text has no tokens and decodes to ""; special tokens inside a text
 become their ids and decode to themselves; ids whose bytes are not UTF-8 decode to U+FFFD;
-repeated rows are encoded alike; empty tables give empty results. Extra columns are kept.
+repeated rows are encoded alike; empty tables give empty results. Extra columns are kept, but for
+those named ids or decoded, which the results replace.
 """
 
 from __future__ import annotations

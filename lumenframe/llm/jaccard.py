@@ -42,8 +42,6 @@ from lumenframe.llm.wordhash import shingle_sets
 #: Counters of the shingle order: 2**COUNTER_BITS of four bytes are broadcast.
 COUNTER_BITS = 20
 CHUNK = 4096
-#: Blocks of the Bloom filters that spare texts an exchange: 36 bytes each.
-BLOOM_BLOCKS = 1 << 16
 
 
 def needed(a: Column, b: Column, percent: int) -> Column:
@@ -139,7 +137,7 @@ def may_link(a: str, b: str, percent: int) -> Column:
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose sets are similar enough. ``docs``: doc_id, text."""
     ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    texts = only(docs, "doc_id", materialize(ids, "jaccard-ids"), BLOOM_BLOCKS).dropDuplicates(["doc_id"])
+    texts = only(docs, "doc_id", materialize(ids, "jaccard-ids")).dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
     both = both.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
 
@@ -167,7 +165,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     member = rows.join(classes, ["n", "print"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     member = materialize(member, "jaccard-members")
     copies = member.where("class_id <> doc_id").select("doc_id").distinct()
-    singles = without(docs.where("doc_id is not null"), "doc_id", materialize(copies, "jaccard-copies"), BLOOM_BLOCKS)
+    singles = without(docs.where("doc_id is not null"), "doc_id", materialize(copies, "jaccard-copies"))
     index = materialize(prefixes(singles, counters, width, percent), "jaccard-prefixes")
     # a 32-bit hash of the shingle is enough to find those that one class alone has
     short = F.hash("gram")
@@ -205,8 +203,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """The rows of ``docs`` but those whose group has a smaller id; of rows that share an id and
     text, all stay or go together."""
     groups = jaccard_groups(docs, width, percent, id_col, text_col)
-    gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "jaccard-gone")
-    return without(docs, id_col, gone, BLOOM_BLOCKS)
+    gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return without(rows, "doc_id", gone).select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
