@@ -30,6 +30,8 @@ SAMPLE = 8192
 #: Rows of a block of the index, and of queries.
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 2048
+#: Queries that are estimated together.
+BATCH = 128
 #: Errors beyond this many standard deviations of the bound are left to chance.
 EPSILON = 3.0
 
@@ -122,32 +124,36 @@ def search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 5
         if data.num_rows and asked.num_rows:
             c, turn = shared.value
             column = lambda t, name: t.column(name).combine_chunks()
-            ids = column(data, "vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], matrix(column(data, "v"))[order]
-            centre, length, with_centre, cosine = (column(data, x).to_numpy()[order] for x in ("centre", "length", "with_centre", "cosine"))
+            centre = column(data, "centre").to_numpy()
+            order = np.argsort(centre, kind="stable")
+            ids, v, centre = column(data, "vec_id").to_numpy()[order], matrix(column(data, "v"))[order], centre[order]
+            length, with_centre, cosine = (column(data, x).to_numpy()[order] for x in ("length", "with_centre", "cosine"))
             bits = np.frombuffer(b"".join(column(data, "bits").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             sign = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-            own, q = column(asked, "query_id").to_numpy(), matrix(column(asked, "q"))
-            unit_q, norm_v = unit(q), np.sqrt((v * v).sum(axis=1))
-            cosine = np.maximum(cosine, 1e-9)
-            wide = epsilon * np.sqrt(np.maximum(1 - cosine * cosine, 0)) / cosine / np.sqrt(max(dim - 1, 1))
-            for i in range(len(own)):
-                off = unit_q[i] - c  # the query relative to each centre
-                turned = (off @ turn.T).astype(np.float32)
-                inner = np.take_along_axis(sign @ turned.T, centre[:, None], axis=1)[:, 0] / cosine
-                far = np.sqrt((off * off).sum(axis=1))[centre]
-                base = with_centre + (c @ unit_q[i])[centre]
-                estimate, error = base + length * inner, length * wide * far + 1e-6
-                allowed = ids != own[i]
-                low = np.where(allowed, estimate - error, -np.inf)
-                floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-                some = np.flatnonzero(allowed & (estimate + error >= floor))
-                score = (v[some] * q[i]).sum(axis=1) / (norm_v[some] * np.sqrt((q[i] * q[i]).sum()))
-                best = np.lexsort((ids[some], -score))[:k]
-                out_q.append(np.full(len(best), own[i]))
-                out_v.append(ids[some][best])
-                out_s.append(score[best])
+            cosine, norm_v, n = np.maximum(cosine, 1e-9), np.sqrt((v * v).sum(axis=1)), len(ids)
+            wide = length * epsilon * np.sqrt(np.maximum(1 - cosine * cosine, 0)) / cosine / np.sqrt(max(dim - 1, 1))
+            parts = [(i, slice(*np.searchsorted(centre, [i, i + 1]))) for i in np.unique(centre)]
+            all_own, all_q = column(asked, "query_id").to_numpy(), matrix(column(asked, "q"))
+            for at in range(0, len(all_own), BATCH):
+                own, q = all_own[at : at + BATCH], all_q[at : at + BATCH]
+                uq = unit(q)
+                estimate, error = np.empty((n, len(own)), np.float32), np.empty((n, len(own)), np.float32)
+                for i, rows in parts:
+                    off = uq - c[i]  # the queries relative to the centre
+                    inner = sign[rows] @ (off @ turn.T).astype(np.float32).T
+                    estimate[rows] = (with_centre[rows, None] + uq @ c[i]) + inner * (length[rows] / cosine[rows])[:, None]
+                    error[rows] = wide[rows, None] * np.sqrt((off * off).sum(axis=1)) + 1e-5
+                estimate[ids[:, None] == own] = -np.inf
+                low = estimate - error
+                floor = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(own), -np.inf)
+                possible = (estimate + error >= floor) & (estimate > -np.inf)
+                for j in range(len(own)):
+                    some = np.flatnonzero(possible[:, j])
+                    score = (v[some] * q[j]).sum(axis=1) / (norm_v[some] * np.sqrt((q[j] * q[j]).sum()))
+                    best = np.lexsort((ids[some], -score))[:k]
+                    out_q.append(np.full(len(best), own[j]))
+                    out_v.append(ids[some][best])
+                    out_s.append(score[best])
         return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
