@@ -167,10 +167,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     copies = member.where("class_id <> doc_id").select("doc_id").distinct()
     singles = without(docs.where("doc_id is not null"), "doc_id", materialize(copies, "jaccard-copies"))
     index = materialize(prefixes(singles, counters, width, percent), "jaccard-prefixes")
-    # a 32-bit hash of the shingle is enough to find those that one class alone has
-    short = F.hash("gram")
-    shared = index.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("short")
-    held = materialize(index.withColumn("short", short).join(shared, "short", "left_semi").drop("short"), "jaccard-shared")
+    shared = index.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    held = materialize(index.join(shared, "gram", "left_semi"), "jaccard-shared")
     discard(index)
     pivots = held.groupBy("gram").agg(F.min_by(F.struct("doc_id", "n", "pos", "hist"), F.struct("pos", F.xxhash64("doc_id"), "doc_id")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
     pivots = materialize(pivots.select("gram", "p.*"), "jaccard-pivots")
