@@ -4,8 +4,9 @@ A source's target is a share of all words, set by its weight and capped at a mul
 source's own words; what a cap cuts off is dealt to the others by weight (water filling). A source
 gives ``floor(target / words)`` certain copies of each document. The rest of its target is a
 Pareto sample: a document's rank is its random odds divided by its inclusion odds, and documents
-are taken in that order until their words come nearest to what is still owed, so the sample has a
-fixed size in words.
+are taken in that order as far as their words stay within what is still owed, so the sample has a
+fixed size in words. The next document, which would take too much, is left out and taking goes on
+after it for what is then owed; the last such pass ends where the words come nearest.
 
 No step orders a source's documents in one task. Ranks are cut into buckets, words are summed by
 (source, bucket), and only the bucket that holds a source's cut is ordered.
@@ -18,6 +19,8 @@ a rank and are taken together; an empty table gives an empty result. Extra colum
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from lumenframe.llm.scratch import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
+#: Times that a source takes documents, each going on past one that would take too much.
+PASSES = 4
 
 
 def word_count(text: Column) -> Column:
@@ -66,7 +71,7 @@ def water_fill(sizes: DataFrame, weights: tuple[float, ...], share: float, cap:
 
 def mix_plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents, sources). Documents: doc_id, source, size, rank; sources: source, source_size,
-    target, certain (copies), cut (the last rank taken; null: none)."""
+    target, certain (copies), p (inclusion odds' probability), takes (spans of ranks taken)."""
     u = uniform(seed, F.col(id_col), F.col(source_col), F.col(text_col))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), u.alias("u"))
     slim = materialize(slim, "mix-sizes")
@@ -79,31 +84,49 @@ def mix_plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, cap: float
         .withColumn("p", F.least(F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0), F.lit(1.0)))
     )
     sources = materialize(sources.coalesce(1), "mix-sources")
-    ranked = with_rank(slim, sources)
-    counts = ranked.where("p > 0").groupBy("source", bucket(F.col("rank")).alias("b")).agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = with_rank(slim, sources).where("p > 0").select("source", "size", "rank")
+    state = sources.select("source", F.col("rest").alias("gap"), F.lit(-1.0).alias("start"))
+    takes = []
+    for k in range(PASSES):
+        taken = materialize(take(ranked, state, over=k == PASSES - 1), "mix-take")
+        takes.append(taken.select("source", "start", "cut"))
+        state = taken.where("next is not null").select("source", (F.col("gap") - F.col("got")).alias("gap"), F.col("next").alias("start"))
+        if not state.where("gap > 0").limit(1).count():
+            break
+    spans = functools.reduce(DataFrame.union, takes).groupBy("source").agg(F.collect_list(F.struct("start", "cut")).alias("takes"))
+    plan = same_source(sources, spans, "left").select("source", "source_size", "target", "certain", "p", "takes")
+    plan = materialize(plan.coalesce(1), "mix-plan")
+    return slim, plan
+
+
+def take(ranked: DataFrame, state: DataFrame, over: bool) -> DataFrame:
+    """For each source that is still owed words (gap) by documents of rank over start: cut, the last
+    rank taken so that their words stay within the gap, or come nearest to it if they may go over;
+    got, those words; next, the rank after the cut, which would take too much."""
+    rows = same_source(ranked, state).where("gap > 0 and rank > start")
+    counts = rows.groupBy("source", bucket(F.col("rank")).alias("b")).agg(F.sum("size").alias("words"), F.first("gap").alias("gap"), F.first("start").alias("start"))
+    before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     edges = (
-        same_source(counts, sources.select("source", "rest"))
-        .withColumn("below", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-        .where("below <= rest")
-        .groupBy("source")
-        .agg(F.max_by("b", "b").alias("edge"), F.max_by("below", "b").alias("below"), F.first("rest").alias("rest"))
+        counts.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        .where("below <= gap").groupBy("source")
+        .agg(F.max_by("b", "b").alias("edge"), F.max_by("below", "b").alias("below"), F.first("gap").alias("gap"), F.first("start").alias("start"))
     )
     edges = materialize(edges, "mix-edges")
-    inside = same_source(ranked.drop("rest"), edges).where(bucket(F.col("rank")) == F.col("edge"))
-    ties = inside.groupBy("source", "rank", "below", "rest").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = F.col("below") + F.sum("words").over(running)
-    cuts = (
-        ties.withColumn("after", after)
-        .where(F.col("after") * 2 - F.col("words") <= F.col("rest") * 2)
-        .groupBy("source").agg(F.max("rank").alias("last"))
+    inside = same_source(rows.drop("gap", "start"), edges).where(bucket(F.col("rank")) == F.col("edge"))
+    ties = inside.groupBy("source", "rank", "below", "gap").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = (
+        ties.withColumn("after", F.col("below") + F.sum("words").over(upto))
+        .where(F.col("after") * 2 - F.col("words") * int(over) <= F.col("gap") * 2)
+        .groupBy("source").agg(F.max(F.struct("rank", "after")).alias("last"))
     )
     # where no rank of the edge's bucket is taken, all buckets below it are
-    cuts = same_source(edges, cuts, "left").select("source", F.coalesce("last", F.col("edge") / float(BUCKETS) - F.lit(1e-15)).alias("cut"))
-    plan = same_source(sources, cuts, "left").select("source", "source_size", "target", "certain", "p", "cut")
-    plan = materialize(plan.coalesce(1), "mix-plan")
-    return slim, plan
+    floor = F.greatest(F.col("start"), F.col("edge") / float(BUCKETS) - F.lit(1e-15))
+    cuts = same_source(edges, last, "left").select(
+        "source", "gap", "start", F.coalesce("last.rank", floor).alias("cut"), F.coalesce("last.after", "below").alias("got"))
+    cuts = materialize(cuts, "mix-cuts")
+    after = same_source(rows.drop("gap", "start"), cuts.select("source", "cut")).where("rank > cut").groupBy("source").agg(F.min("rank").alias("next"))
+    return same_source(cuts, after, "left")
 
 
 def with_rank(docs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -127,7 +150,8 @@ def same_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFr
 
 def copies() -> Column:
     """Times a ranked document is taken."""
-    return F.col("certain") + F.when((F.col("p") > 0) & (F.col("rank") <= F.col("cut")), 1).otherwise(0)
+    held = F.exists("takes", lambda t: (F.col("rank") > t["start"]) & (F.col("rank") <= t["cut"]))
+    return F.col("certain") + F.when((F.col("p") > 0) & held, 1).otherwise(0)
 
 
 def mix_sizes(docs: DataFrame, **how) -> DataFrame:

