@@ -56,7 +56,7 @@ sql("agg_pivot", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority, o_orderk
     "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS p FROM {orders} GROUP BY o_orderpriority")
 sql("agg_unpivot", "SELECT * FROM (SELECT s_suppkey, s_nationkey AS nation, CAST(s_suppkey % 7 AS INT) AS rest FROM {supplier}) UNPIVOT (v FOR k IN (nation, rest))",
     "SELECT s_suppkey, 'nation' AS k, s_nationkey AS v FROM {supplier} UNION ALL SELECT s_suppkey, 'rest', CAST(s_suppkey % 7 AS INTEGER) FROM {supplier}")
-sql("agg_regr", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, regr_count(l_extendedprice, l_quantity) AS n FROM {lineitem}")
+sql("agg_regr", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, regr_count(l_extendedprice, l_quantity) AS n FROM {lineitem}", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM {lineitem}")
 sql("agg_mode_listagg", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey")
 
 

@@ -138,7 +138,7 @@ sql("ds_class_share", """
 SELECT p_brand, p_type, revenue, round(revenue * 100 / sum(revenue) OVER (PARTITION BY p_type), 6) AS share
 FROM (SELECT p_brand, p_type, round(sum(l_extendedprice), 4) AS revenue FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, p_type) t""")
 sql("ds_rank_in_month", """
-SELECT * FROM (SELECT m, o_orderpriority, total, CAST(rank() OVER (PARTITION BY m ORDER BY total DESC) AS BIGINT) AS rk
+SELECT * FROM (SELECT CAST(m AS TIMESTAMP_NTZ) AS m, o_orderpriority, total, CAST(rank() OVER (PARTITION BY m ORDER BY total DESC) AS BIGINT) AS rk
 FROM (SELECT date_trunc('month', o_orderdate) AS m, o_orderpriority, round(sum(o_totalprice), 4) AS total FROM {orders} GROUP BY date_trunc('month', o_orderdate), o_orderpriority) a) b WHERE rk <= 2""",
     """SELECT * FROM (SELECT m, o_orderpriority, total, rank() OVER (PARTITION BY m ORDER BY total DESC) AS rk
 FROM (SELECT date_trunc('month', o_orderdate) AS m, o_orderpriority, round(sum(o_totalprice), 4) AS total FROM {orders} GROUP BY 1, 2) a) b WHERE rk <= 2""")

@@ -63,7 +63,7 @@ sql("cast_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_ord
 sql("date_parts", "SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, dayofmonth(ts) AS dm, dayofyear(ts) AS dy, dayofweek(ts) AS dw, weekday(ts) AS wd, weekofyear(ts) AS w, quarter(ts) AS q, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s FROM {events}", "SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d, CAST(day(ts) AS INTEGER) AS dm, CAST(dayofyear(ts) AS INTEGER) AS dy, CAST(dayofweek(ts) + 1 AS INTEGER) AS dw, CAST((dayofweek(ts) + 6) % 7 AS INTEGER) AS wd, CAST(weekofyear(ts) AS INTEGER) AS w, CAST(quarter(ts) AS INTEGER) AS q, CAST(hour(ts) AS INTEGER) AS h, CAST(minute(ts) AS INTEGER) AS mi, CAST(second(ts) AS INTEGER) AS s FROM {events}")
 sql("date_extract", "SELECT event_id, CAST(extract(YEAR FROM ts) AS BIGINT) AS y, CAST(date_part('MONTH', ts) AS BIGINT) AS m, CAST(extract(HOUR FROM ts) AS BIGINT) AS h FROM {events}", "SELECT event_id, extract(YEAR FROM ts) AS y, date_part('month', ts) AS m, extract(HOUR FROM ts) AS h FROM {events}")
 sql("date_arith", "SELECT o_orderkey, date_add(CAST(o_orderdate AS DATE), 10) AS a, date_sub(CAST(o_orderdate AS DATE), 3) AS s, datediff(CAST(o_orderdate AS DATE), DATE'1995-01-01') AS d, add_months(CAST(o_orderdate AS DATE), 2) AS m, last_day(CAST(o_orderdate AS DATE)) AS l, CAST(o_orderdate AS DATE) + INTERVAL 3 MONTHS AS i, CAST(o_orderdate AS DATE) + INTERVAL 5 DAYS AS j FROM {orders}", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 10 AS a, CAST(o_orderdate AS DATE) - 3 AS s, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS d, CAST(CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH AS DATE) AS m, last_day(CAST(o_orderdate AS DATE)) AS l, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH AS DATE) AS i, CAST(CAST(o_orderdate AS DATE) + INTERVAL 5 DAY AS DATE) AS j FROM {orders}")
-sql("date_trunc_kinds", "SELECT event_id, date_trunc('hour', ts) AS h, date_trunc('DAY', ts) AS d, date_trunc('month', ts) AS m, trunc(CAST(ts AS DATE), 'YEAR') AS y, trunc(CAST(ts AS DATE), 'MM') AS mm FROM {events}", "SELECT event_id, date_trunc('hour', ts) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, CAST(date_trunc('month', ts) AS TIMESTAMP) AS m, CAST(date_trunc('year', ts) AS DATE) AS y, CAST(date_trunc('month', ts) AS DATE) AS mm FROM {events}")
+sql("date_trunc_kinds", "SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS h, CAST(date_trunc('DAY', ts) AS TIMESTAMP_NTZ) AS d, CAST(date_trunc('month', ts) AS TIMESTAMP_NTZ) AS m, trunc(CAST(ts AS DATE), 'YEAR') AS y, trunc(CAST(ts AS DATE), 'MM') AS mm FROM {events}", "SELECT event_id, date_trunc('hour', ts) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, CAST(date_trunc('month', ts) AS TIMESTAMP) AS m, CAST(date_trunc('year', ts) AS DATE) AS y, CAST(date_trunc('month', ts) AS DATE) AS mm FROM {events}")
 sql("date_next_months", "SELECT next_day(DATE'2024-01-10', 'MON') AS n, round(months_between(TIMESTAMP'2024-03-31', TIMESTAMP'2024-01-15'), 6) AS m, date_from_unix_date(10) AS u, make_date(2024, 2, 29) AS d, make_date(2023, 2, 29) AS x, CAST(make_timestamp_ntz(2024, 5, 6, 7, 8, 9) AS TIMESTAMP_NTZ) AS t", "SELECT DATE '2024-01-15' AS n, 2.516129::DOUBLE AS m, DATE '1970-01-11' AS u, DATE '2024-02-29' AS d, NULL::DATE AS x, TIMESTAMP '2024-05-06 07:08:09' AS t")
 sql("unix_time", "SELECT event_id, unix_date(CAST(ts AS DATE)) AS d, unix_seconds(CAST(ts AS TIMESTAMP)) AS s, unix_millis(CAST(ts AS TIMESTAMP)) AS m, unix_micros(CAST(ts AS TIMESTAMP)) AS u, unix_timestamp(ts) AS x, to_unix_timestamp(CAST(ts AS TIMESTAMP)) AS y FROM {events}", "SELECT event_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS d, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000 AS m, epoch_us(ts) AS u, epoch_us(ts) // 1000000 AS x, epoch_us(ts) // 1000000 AS y FROM {events}")
 sql("unix_back", "SELECT event_id, CAST(timestamp_seconds(unix_seconds(CAST(ts AS TIMESTAMP))) AS TIMESTAMP_NTZ) AS s, CAST(timestamp_millis(unix_millis(CAST(ts AS TIMESTAMP))) AS TIMESTAMP_NTZ) AS m, CAST(timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP))) AS TIMESTAMP_NTZ) AS u, from_unixtime(unix_timestamp(ts), 'yyyy-MM-dd') AS f FROM {events}", "SELECT event_id, date_trunc('second', ts) AS s, date_trunc('millisecond', ts) AS m, ts AS u, strftime(ts, '%Y-%m-%d') AS f FROM {events}")

@@ -12,7 +12,8 @@ def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; a local session without one gets a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="lumenframe-stream-")
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
