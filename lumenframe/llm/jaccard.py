@@ -212,4 +212,19 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+      WHERE a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90 GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 90 * (nx + ny - c)),
+lk AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, lk.y FROM r JOIN lk ON r.top = lk.x),
+t AS (SELECT node, min(top) AS top FROM r GROUP BY node)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, t.top AS component_id FROM s JOIN t ON s.doc_id = t.node
+"""
+}
