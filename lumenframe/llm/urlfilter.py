@@ -101,10 +101,16 @@ LISTED = [
 ]
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple[str, ...]], names: list[str]) -> DataFrame:
+    """A few rows of strings as literals of the plan."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    rules = spark.createDataFrame(RULES, LISTING)
-    listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
+    rules = literal_rows(spark, RULES, ["verdict", "host", "path"])
+    listed = literal_rows(spark, [(u,) for u in LISTED], ["url"])
     return judge_urls(pages, rules, listed).drop("matched")
 
 
