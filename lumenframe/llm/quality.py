@@ -73,7 +73,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """host, host_docs, host_failed, host_rate (shrunken), prior_a, prior_b.
+    """host, host_docs, host_failed, host_rate (shrunken).
 
     The prior's mean is the mean of the hosts' rates weighted by their documents; its strength
     follows from how much more the rates vary than counts of such size would by chance.
