@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def pieces(batch: pa.RecordBatch, column: int | str, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 256
-KNOWN = 400_000
+KNOWN = 200_000
 #: Bytes of text for which one output batch is built.
 OUT_BYTES = 1 << 22
 NO_RANK = 1 << 60

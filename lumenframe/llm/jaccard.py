@@ -59,7 +59,7 @@ def measure(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch, 1):
                 sets = shingle_sets(data, offsets, width)
-                counters += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counters))
+                np.add.at(counters, (np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
                 prints = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.nulls(hi - lo, pa.int32())], names=names)
         full = [k for k in range(len(counters) // CHUNK) if counters[k * CHUNK : (k + 1) * CHUNK].any()]
