@@ -26,3 +26,10 @@ def test_arithmetic_of_all_orders(spark, tmp_path):
     rows = both(spark, tmp_path, "expr_arithmetic", "lineitem", columns)
     assert sorted(r.l_orderkey for r in rows) == keys
     assert {(r.a, r.s, r.m, r.d, r.r, r.neg) for r in rows} == {(4.5, 3.0, 27, 2.5, 2, -9)}
+
+
+def test_letters_past_the_fortieth(spark, tmp_path):
+    text = "aB" * 30 + "éÀß" + "z" * 5000 + "Ω"
+    rows = both(spark, tmp_path, "string_lengths", "documents", {"doc_id": [1, 2], "text": [text, None]})
+    got = {r.doc_id: (r.u, r.l) for r in rows}
+    assert got == {1: (text.replace("ß", "s").upper(), text.lower()), 2: (None, None)}
