@@ -33,3 +33,10 @@ def test_letters_past_the_fortieth(spark, tmp_path):
     rows = both(spark, tmp_path, "string_lengths", "documents", {"doc_id": [1, 2], "text": [text, None]})
     got = {r.doc_id: (r.u, r.l) for r in rows}
     assert got == {1: (text.replace("ß", "s").upper(), text.lower()), 2: (None, None)}
+
+
+def test_every_component_of_vectors(spark, tmp_path):
+    vectors = [[float(i) for i in range(64)], [float(i + 1) for i in range(64)], [5.0, 6.0], [], None]
+    columns = {"vec_id": list(range(5)), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0, 0, 1, 1, 1], pa.int32())}
+    rows = both(spark, tmp_path, "explode_vectors", "embeddings", columns)
+    assert {(r.label, r.i): r.mean for r in rows} == {(0, i): i + 0.5 for i in range(64)} | {(1, 0): 5.0, (1, 1): 6.0}
