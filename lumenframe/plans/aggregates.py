@@ -10,9 +10,9 @@ from lumenframe.sources.io import table
 
 sql("agg_sum_types", """
 SELECT o_orderstatus, sum(o_custkey) AS s_long, round(sum(o_totalprice), 2) AS s_double, sum(CAST(o_custkey AS SMALLINT)) AS s_short,
-       CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS s_decimal FROM {orders} WHERE o_custkey < 30000 GROUP BY o_orderstatus""", """
-SELECT o_orderstatus, sum(o_custkey)::BIGINT AS s_long, round(sum(o_totalprice), 2) AS s_double, sum(CAST(o_custkey AS SMALLINT))::BIGINT AS s_short,
-       CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS s_decimal FROM {orders} WHERE o_custkey < 30000 GROUP BY o_orderstatus""")
+       CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS s_decimal FROM {orders} GROUP BY o_orderstatus""", """
+SELECT o_orderstatus, sum(o_custkey)::BIGINT AS s_long, round(sum(o_totalprice), 2) AS s_double, sum((o_custkey % 65536 + 98304) % 65536 - 32768)::BIGINT AS s_short,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS s_decimal FROM {orders} GROUP BY o_orderstatus""")
 sql("agg_avg", "SELECT l_returnflag, round(avg(l_quantity), 8) AS a_double, round(avg(l_partkey), 6) AS a_long, round(avg(l_linenumber), 8) AS a_int FROM {lineitem} GROUP BY l_returnflag")
 sql("agg_count", "SELECT event_type, count(*) AS n, count(value) AS n_value, count(nullif(user_id, 1)) AS n_user FROM {events} GROUP BY event_type")
 sql("agg_count_filter", "SELECT o_orderpriority, count(*) FILTER (WHERE o_totalprice > 150000) AS big, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM {orders} GROUP BY o_orderpriority")

@@ -40,3 +40,10 @@ def test_every_component_of_vectors(spark, tmp_path):
     columns = {"vec_id": list(range(5)), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0, 0, 1, 1, 1], pa.int32())}
     rows = both(spark, tmp_path, "explode_vectors", "embeddings", columns)
     assert {(r.label, r.i): r.mean for r in rows} == {(0, i): i + 0.5 for i in range(64)} | {(1, 0): 5.0, (1, 1): 6.0}
+
+
+def test_sums_over_keys_past_a_short(spark, tmp_path):
+    keys = [1, 29_999, 30_000, 32_767, 32_768, 65_535, 65_536, 98_304, -1, -32_769, 2**40 + 3, None]
+    rows = both(spark, tmp_path, "agg_sum_types", "orders", {"o_custkey": keys, "o_orderstatus": ["F"] * 12, "o_totalprice": [1.25] * 12})
+    wrapped = [(k + 32_768) % 65_536 - 32_768 for k in keys if k is not None]
+    assert [tuple(r) for r in rows] == [("F", sum(k for k in keys if k is not None), 15.0, sum(wrapped), 15.0)]
