@@ -11,8 +11,8 @@ Control strings inside texts and roles are escaped reversibly: a "<", any backsl
 get one more backslash, so no text holds "<|". In roles, "\\" and line ends are escaped as well.
 
 Defined cases: a null text or role is empty; messages whose parent is null or absent are roots;
-messages on a cycle of parents have no root and no path; equal rows of a tree are one message;
-ties between branches go to the smaller leaf; empty tables give empty results. Turns
+messages on a cycle of parents have no root and no path; equal rows of a tree are one message; all
+messages of a null tree are one tree; ties between branches go to the smaller leaf; empty tables give empty results. Turns
 of ``conversations`` are ordered by turn (null last), role and text. Extra columns are ignored.
 """
 
@@ -51,13 +51,20 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def same_tree(left: DataFrame, right: DataFrame, on: str = "message", how: str = "inner") -> DataFrame:
+    """Join by tree, where null equals null, and ``on``, keeping one column of each."""
+    right = right.withColumnsRenamed({"tree": "_tree", on: "_on"})
+    met = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col(on) == F.col("_on"))
+    return left.join(right, met, how).drop("_tree", "_on")
+
+
 def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """tree, leaf, branch (1 is best), depth, message, back (0 at the leaf): one row for each
     message of the ``per_tree`` best branches. ``messages``: tree, message, parent, score, where
     (tree, message) is unique."""
     me = messages.select("tree", "message", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = me.select("tree", F.col("message").alias("parent"), F.lit(True).alias("_there"))
-    me = me.join(known, ["tree", "parent"], "left")
+    me = same_tree(me, known, "parent", "left")
     # up: the 2^k-th ancestor, null past the root; depth and total cover the messages up to it. Each
     # level holds the messages that had an ancestor so far up on the level before.
     step = me.select("tree", "message", F.when(F.col("_there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
@@ -67,18 +74,18 @@ def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     while levels[-1].where("up is not null").limit(1).count() and (1 << (len(levels) - 1)) <= most:  # beyond, only cycles climb
         climbing = levels[-1].where("up is not null")
         far = climbing.union(ended).select("tree", F.col("message").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        joined = climbing.join(far, ["tree", "up"])
+        joined = same_tree(climbing, far, "up")
         step = joined.select("tree", "message", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
         levels.append(materialize(step, "chat-jump"))
         ended = ended.union(levels[-1].where("up is null"))
     parents = levels[0].where("up is not null").select("tree", F.col("up").alias("message"))
-    leaves = ended.join(parents, ["tree", "message"], "left_anti")
+    leaves = same_tree(ended, parents, how="left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), F.asc("message"))
     found = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= per_tree)
     paths = materialize(found.select("tree", F.col("message").alias("leaf"), "branch", "depth", "message", F.lit(0).cast("long").alias("back")), "chat-path")
     for k in reversed(range(len(levels) - 1)):
         jump = levels[k].where("up is not null").select("tree", "message", "up")
-        climbed = paths.where(F.col("back") + (1 << k) < F.col("depth")).join(jump, ["tree", "message"])
+        climbed = same_tree(paths.where(F.col("back") + (1 << k) < F.col("depth")), jump)
         climbed = climbed.select("tree", "leaf", "branch", "depth", F.col("up").alias("message"), (F.col("back") + (1 << k)).alias("back"))
         longer = materialize(paths.unionByName(climbed), "chat-path")
         discard(paths)
@@ -90,7 +97,7 @@ def format_paths(paths: DataFrame, messages: DataFrame, learned: str = LEARNED)
     """tree, leaf, branch, n_turns, formatted, spans (start and length in code points of each text
     under the loss mask, as it stands in ``formatted``). ``messages``: tree, message, role, text."""
     role, text = F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))
-    turns = paths.join(messages.select("tree", "message", "role", "text"), ["tree", "message"])
+    turns = same_tree(paths, messages.select("tree", "message", "role", "text"))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
     turns = turns.select("tree", "leaf", "branch", (F.col("depth") - F.col("back")).alias("n"), head.alias("head"), text.alias("body"), (role == learned).alias("learned"))
     whole = turns.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list(F.struct("n", "head", "body", "learned"))).alias("turns"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 from compare import connect, duck_rows, spark_rows
 from pyspark.sql import functions as F
 
@@ -79,5 +80,22 @@ def test_hot_conversation(spark):
     assert got[0] == (700, sum(len(f"m{i}") for i in range(1, 700, 2))) and len(got) == 200
 
 
+def test_conversation_without_id(spark, tmp_path):
+    rows = [(None, i, "user" if i % 2 else "assistant", f"n{i}") for i in range(9)] + [(0, 0, "assistant", "zero"), (1, 0, "user", None), (1, 1, "assistant", "x")]
+    conversations(spark, rows).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = spark_rows(chat.op1_chat_format(spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == duck_rows(con, chat.ORACLES["op1_chat_format"])
+    assert len(got[1]) == 4
+
+
+def test_branches_of_a_tree_without_id(spark):
+    rows = [(tree, m, parent, "user", f"t{m}", score) for tree in (None, 0) for m, parent, score in [(0, None, 1.0), (1, 0, 0.5), (2, 0, 2.0), (3, 2, 0.0), (4, 3, 1.0), (5, 1, 9.0)]]
+    out = chat.format_messages(spark.createDataFrame(rows, TREE), 2).collect()
+    want = {(tree, k + 1): path for tree, found in best_paths(rows, 2).items() for k, path in enumerate(found)}
+    assert {(r.tree, r.branch): [int(t[1:]) for _, t in chat.read_turns(r.formatted)] for r in out} == want
+
+
 def test_query(spark, sf_dir):
     assert spark_rows(chat.op1_chat_format(spark, sf_dir)) == duck_rows(connect(sf_dir), chat.ORACLES["op1_chat_format"])
