@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,11 +68,76 @@ def test_edge_tables(docs):
     assert [r.taken for r in twice] == [2, 2]
 
 
-def test_inclusion_is_unequal_by_source_and_even_within(docs):
-    """A source's documents are taken about equally often over seeds."""
+def python_sample(units, rest):
+    """Pareto sample of words in plain Python. ``units``: (size, u); gives the set of indices taken,
+    and the inclusion probabilities."""
+    low, high = 0.0, float(sum(s for s, _ in units))
+    for _ in range(200):  # bisection for the scale
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1.0, mid * s) * s for s, _ in units) < rest else (low, mid)
+    p = [min(1.0, high * s) for s, _ in units]
+    q = [0.0 if x >= 1 else u / (1 - u) * (1 - x) / x for (_, u), x in zip(units, p)]
+    order = sorted(range(len(units)), key=q.__getitem__)
+    taken, gap = set(), rest
+    for i in order:
+        if units[i][0] <= gap:
+            taken.add(i)
+            gap -= units[i][0]
+    taken.update([i for i in order if i not in taken and units[i][0] < 2 * gap][:1])
+    return taken, p
+
+
+@pytest.mark.parametrize("share, seed", [(0.5, 1), (0.13, 2), (1.0, 3), (2.3, 4)])
+def test_selection_matches_plain_python(docs, share, seed):
+    rng = random.Random(seed)
+    rows = [(i, "w " * rng.choice([1, 2, 3, 5, 8, 40, rng.randint(1, 400)]), rng.choice(["a", "a", "b", None])) for i in range(500)]
+    df = docs(rows)
+    u = {r.doc_id: r.u for r in df.select("doc_id", mixing.uniform(seed, F.col("doc_id"), F.col("source"), F.col("text")).alias("u")).collect()}
+    got = {}
+    for r in mixing.mix_sizes(df, share=share, seed=seed).collect():
+        got.setdefault(r.source, []).append(r)
+    for held in got.values():
+        certain = int(held[0].target / held[0].source_size + 1e-12)
+        taken, _ = python_sample([(r.size, u[r.doc_id]) for r in held], held[0].target - certain * held[0].source_size)
+        assert [r.copies for r in held] == [certain + (i in taken) for i in range(len(held))]
+
+
+def test_inclusion_follows_size(docs):
+    """Over 300 sources with documents of the same sizes, each document is taken about as often as its
+    inclusion probability says: in proportion to its words, and always where that reaches 1."""
+    sizes = [20 + i // 3 for i in range(180)] + [1500, 4000]
+    trials, share = 300, 0.75
+    rows = [(t * 1000 + i, "w " * s, f"s{t}") for t in range(trials) for i, s in enumerate(sizes)]
+    hits = {r.i: r.n for r in mixing.mix_sizes(docs(rows), weights=(1,), share=share).groupBy((F.col("doc_id") % 1000).alias("i")).agg(F.sum("copies").alias("n")).collect()}
+    _, p = python_sample([(s, 0.5) for s in sizes], share * sum(sizes))
+    assert p[-1] == p[-2] == 1.0 and hits[180] == hits[181] == trials
+    for i in range(180):
+        # four standard deviations, and what filling the last gap shifts
+        assert abs(hits[i] / trials - p[i]) < 4 * (p[i] * (1 - p[i]) / trials) ** 0.5 + 0.04
+    assert sum(hits[i] for i in range(150, 180)) > 2.5 * sum(hits[i] for i in range(30))
+
+
+def test_inclusion_of_equal_documents_is_even(docs):
+    """A source's documents of one size are taken about equally often over seeds."""
     df = docs([(i, "w w", "a" if i < 40 else "b") for i in range(80)]).cache()
     hits = {}
-    for seed in range(6):
+    for seed in range(12):
         for r in mixing.mix_sizes(df, weights=(1, 3), seed=seed).where("source = 'a' and copies > 0").collect():
             hits[r.doc_id] = hits.get(r.doc_id, 0) + 1
-    assert sum(hits.values()) == 6 * 20 and len(hits) >= 34
+    assert sum(hits.values()) == 12 * 20 and len(hits) >= 38 and max(hits.values()) <= 11
+
+
+def test_long_text_and_equal_sizes(docs):
+    rows = [(0, "w " * 30_000, "a"), *((i, "w " * 300, "a") for i in range(1, 201)), *((i, "w " * 3, "a") for i in range(201, 400)), *((i, "w w", "b") for i in range(400, 800))]
+    for r in mixing.mix_sizes(docs(rows), share=0.7).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect():
+        assert abs(r.t - r.g) <= 3
+
+
+def test_query_is_near_its_targets(spark, sf_dir):
+    out = mixing.op10_mixing(spark, sf_dir).collect()
+    want = {r.source: r.target for r in out}
+    for source, target in want.items():
+        held = [r for r in out if r.source == source]
+        short = sorted(r.size for r in held if r.size)
+        assert abs(sum(r.taken for r in held) - target) <= max(0.01 * target, short[0])
+        assert all(r.taken <= 3 * r.size for r in held)
