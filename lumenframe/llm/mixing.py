@@ -8,8 +8,8 @@ proportional to its words, ``p = least(1, scale * size)``, with each source's sc
 words expected are those still owed. Documents of probability 1 are certain. The others are ranked
 by random odds ``u / (1 - u)`` divided by inclusion odds ``p / (1 - p)``, and are taken in that
 order. The sample has a fixed size in words, as targets are in words: taking goes on past each
-document that would take too much until none that is left fits, and ends with one more document
-if that brings the words nearer to the target.
+document that would take too much until none that is left fits, and ends with the one more document
+that brings the words nearest to the target, if any brings them nearer.
 
 No step orders a source's documents in one task. Ranks are cut into buckets, words are summed by
 (source, bucket), and only the bucket that holds a source's first cut is ordered. What is owed after
@@ -140,7 +140,7 @@ def first_cut(ranked: DataFrame) -> DataFrame:
 
 def go_on(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
     """source, more: the ranks over the cut that are taken one by one as far as they fit the gap, and
-    then the first that brings the words nearer to what is owed.
+    then the one that brings the words nearest to what is owed, if any brings them nearer.
 
     Of one size only the first gap / size documents can fit, and one of up to twice the gap can end
     it. They lie in the first buckets that hold as many, so counts by (source, size, bucket) tell
@@ -163,8 +163,9 @@ def go_on(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
         "named_struct('gap', a.gap - t.size, 'more', array_append(a.more, t.rank)), a))"
     )
     lists = lists.withColumn("f", filled)
-    last = F.expr("filter(units, t -> t.size > f.gap and t.size < 2 * f.gap and not array_contains(f.more, t.rank))")
-    return lists.select("source", F.when(F.size(last) > 0, F.array_append("f.more", F.get(last, F.lit(0))["rank"])).otherwise(F.col("f.more")).alias("more"))
+    left = "filter(units, t -> t.size > f.gap and t.size < 2 * f.gap and not array_contains(f.more, t.rank))"
+    last = F.expr(f"array_min(transform({left}, t -> named_struct('off', t.size - f.gap, 'rank', t.rank)))")
+    return lists.select("source", F.when(last.isNotNull(), F.array_append("f.more", last["rank"])).otherwise(F.col("f.more")).alias("more"))
 
 
 def with_rank(docs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,7 +84,8 @@ def python_sample(units, rest):
         if units[i][0] <= gap:
             taken.add(i)
             gap -= units[i][0]
-    taken.update([i for i in order if i not in taken and units[i][0] < 2 * gap][:1])
+    nearer = [(units[i][0] - gap, q[i], i) for i in order if i not in taken and gap < units[i][0] < 2 * gap]
+    taken.update(i for _, _, i in sorted(nearer)[:1])
     return taken, p
 
 
@@ -133,11 +135,23 @@ def test_long_text_and_equal_sizes(docs):
         assert abs(r.t - r.g) <= 3
 
 
-def test_query_is_near_its_targets(spark, sf_dir):
-    out = mixing.op10_mixing(spark, sf_dir).collect()
-    want = {r.source: r.target for r in out}
-    for source, target in want.items():
-        held = [r for r in out if r.source == source]
-        short = sorted(r.size for r in held if r.size)
-        assert abs(sum(r.taken for r in held) - target) <= max(0.01 * target, short[0])
-        assert all(r.taken <= 3 * r.size for r in held)
+def test_query_matches_plain_python(spark, sf_dir):
+    """The whole query against word counts, water filling and sampling in plain Python."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", "source", "text", mixing.uniform(17, F.col("doc_id"), F.col("source"), F.col("text")).alias("u")).collect()
+    by, want = {}, {}
+    for r in rows:
+        by.setdefault(r.source, []).append((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.u))
+    targets = fill({s: sum(n for _, n, _ in held) for s, held in by.items()})
+    for source, held in by.items():
+        total = sum(n for _, n, _ in held)
+        certain = int(targets[source] / total + 1e-12)
+        taken, _ = python_sample([(n, u) for _, n, u in held], targets[source] - certain * total)
+        words = 0
+        for i, (doc, n, _) in enumerate(held):
+            want[doc] = (n, total, n * (certain + (i in taken)))
+            words += want[doc][2]
+        left = [n for i, (_, n, _) in enumerate(held) if i not in taken and n]
+        assert abs(words - targets[source]) <= max(0.01 * targets[source], min(left, default=0) / 2)
+    got = {r.doc_id: (r.size, r.source_size, r.taken) for r in mixing.op10_mixing(spark, sf_dir).collect()}
+    assert got == want and all(t <= 3 * n for n, _, t in got.values())
