@@ -11,15 +11,18 @@ phone   | +country number of 8 to 15 digits, or       | the national digits
         | 10 digits punctuated as a US number        |
 ssn     | ddd-dd-dddd, assignable                    | within the assignable numbers
 ipv4    | four octets up to 255                      | the 32 bits
-iban    | remainder 1 by 97                          | account digits and letters; check digits recomputed
-date    | a day from 1800 to 2199 as y-m-d, m/d/y,   | within these 146,097 days
-        | d/m/y or d.m.y                             |
-email   | name@domain                                | letters and digits of the name
+iban    | remainder 1 by 97, check digits 02 to 98   | account digits and letters; check digits recomputed
+date    | a day from 1800 to 2199 as y-m-d, m/d/y,   | the 57,600 days up to a month's 12th among themselves,
+        | d/m/y or d.m.y                             | and the 88,497 later ones
+email   | name@domain                                | letters and digits of the name, without regard to case
 secret  | 20 or more characters after token, secret, | hexadecimal digits, or letters and digits
         | password or key and a sign                 |
 
+Ten bare digits are no phone number, as any count may look like that. A date with slashes whose first
+two numbers are both 12 at most is read as m/d/y.
+
 Defined cases: a null text stays null, with no pseudonyms; an empty text stays empty; repeated
-rows change alike; empty tables give empty results. Other columns are kept as they are.
+rows change alike; very long texts are treated whole; empty tables give empty results. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -178,10 +181,18 @@ def iban(key: str) -> str:
         "substr(w, length(replace(substr(m, 1, i), ' ', '')), 1))), '')"
     )
     whole = with_let(body, "q", with_let(built, "w", spaced))
-    return with_let("replace(m, ' ', '')", "d", f"if({mod('concat(substr(d, 5), substr(d, 1, 4))')} = 1, {whole}, m)")
+    return with_let("replace(m, ' ', '')", "d", f"if({mod('concat(substr(d, 5), substr(d, 1, 4))')} = 1 and substr(d, 3, 2) between '02' and '98', {whole}, m)")
+
+
+def walk(x: str, step, outside: str, most: int) -> str:
+    """``step`` of x, and again while the result y is ``outside`` the values that x is one of: a
+    permutation of these values if ``step`` is one of more."""
+    return f"aggregate(sequence(1, {most}), {x}, (y, w) -> if(w = 1 or {outside}, {step('y')}, y))"
 
 
 def date(key: str) -> str:
+    """Days up to the 12th of a month and later ones are permuted apart, by the same permutations for
+    all shapes: what reads as m/d/y or d/m/y stays so, and no two days get one string."""
     day = (
         "case when m like '%-%' then try_to_timestamp(m, 'yyyy-MM-dd') when m like '%.%' then try_to_timestamp(m, 'd.M.yyyy') "
         "else coalesce(try_to_timestamp(m, 'M/d/yyyy'), try_to_timestamp(m, 'd/M/yyyy')) end"
@@ -191,9 +202,21 @@ def date(key: str) -> str:
         f"case when m like '%-%' then 'yyyy-MM-dd' when m like '%.%' then if({padded}, 'dd.MM.yyyy', 'd.M.yyyy') "
         f"when try_to_timestamp(m, 'M/d/yyyy') is not null then if({padded}, 'MM/dd/yyyy', 'M/d/yyyy') else if({padded}, 'dd/MM/yyyy', 'd/M/yyyy') end"
     )
-    new = feistel(key, "date", "n div 773", "n % 773", "189", "773", "date_add(date'1800-01-01', cast(s.l * 773 + s.r as int))")
-    inside = f"if(n between 0 and 146096, date_format({new}, {shape}), m)"
-    return f"coalesce({with_let(f'datediff(cast({day} as date), date' + chr(39) + '1800-01-01' + chr(39) + ')', 'n', inside)}, m)"
+    months = "((year(t) - 1800) * 12 + month(t) - 1)"
+    begins = lambda k: f"add_months(date'1800-01-01', cast({k} as int))"
+    # 57,600 early days, by month and day
+    early = feistel(key, "date", f"({months} * 12 + day(t) - 1) div 240", f"({months} * 12 + day(t) - 1) % 240", "240", "240", "s.l * 240 + s.r")
+    early = with_let(early, "e", f"date_add({begins('e div 12')}, cast(e % 12 as int))")
+    # 88,497 later ones, counted without the early ones; 297 * 298 are nine more
+    past = lambda k: f"(datediff({begins(k)}, date'1800-01-01') - 12 * ({k}))"
+    late = walk(
+        f"cast({past(months)} + day(t) - 13 as bigint)",
+        lambda y: feistel(key, "date-late", f"{y} div 298", f"{y} % 298", "297", "298", "s.l * 298 + s.r"), "y >= 88497", 10)
+    guess = "cast(floor(e / 18.436875) as int)"  # later days of a month on average; the count is never off by a month's
+    found = f"element_at(filter(sequence({guess} - 1, {guess} + 1), k -> {past('k')} <= e), -1)"
+    late = with_let(late, "e", with_let(found, "f", f"date_add({begins('f')}, cast(e - {past('f')} + 12 as int))"))
+    inside = f"if(year(t) between 1800 and 2199, date_format(if(day(t) <= 12, {early}, {late}), {shape}), m)"
+    return f"coalesce({with_let(f'cast({day} as date)', 't', inside)}, m)"
 
 
 def email(key: str) -> str:
@@ -203,8 +226,10 @@ def email(key: str) -> str:
 
 def secret(key: str) -> str:
     value = "regexp_extract(m, '([A-Za-z0-9+/_-]+)$', 1)"
-    hexed = f"if(w rlike '^([0-9a-f]+|[0-9A-F]+)$', {permute_text(key, 'hex', 'w', True)}, {permute_text(key, 'secret', 'w')})"
-    return with_let(value, "w", f"concat(substr(m, 1, length(m) - length(w)), {hexed})")
+    hexed = "rlike '^([0-9a-f]+|[0-9A-F]+)$'"
+    other = walk("v", lambda y: permute_text(key, "secret", y), f"y {hexed}", 64)
+    new = f"if(v {hexed}, {permute_text(key, 'hex', 'v', True)}, {other})"
+    return with_let(value, "v", f"concat(substr(m, 1, length(m) - length(v)), {new})")
 
 
 def pseudonym(key: str) -> str:

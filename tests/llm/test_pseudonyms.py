@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import re
 
 import pytest
@@ -80,21 +81,146 @@ def test_keys_matter_and_reruns_agree(docs):
 
 
 def test_permutations_have_no_collisions(spark):
-    """The Feistel networks as such: all of a small domain, and many dates and numbers."""
+    """The Feistel networks as such: all of a small domain."""
     pairs = pseudonyms.feistel("k", "t", "id div 7", "id % 7", "6", "7", "s.l * 7 + s.r")
     assert sorted(r[0] for r in spark.range(42).selectExpr(pairs).collect()) == list(range(42))
     strings = pseudonyms.permute_digits("k", "t", "d")
     got = [r[0] for r in spark.range(1000).selectExpr("lpad(id, 3, '0') AS d").selectExpr(strings).collect()]
     assert sorted(got) == [f"{i:03d}" for i in range(1000)]
-    days = spark.range(0, 146097, 7).selectExpr("date_format(date_add(date'1800-01-01', cast(id AS int)), 'yyyy-MM-dd') AS m")
-    new = [r[0] for r in days.selectExpr(pseudonyms.date("k")).collect()]
-    assert len(set(new)) == len(new) and all(dt.date.fromisoformat(x) for x in new)
     names = pseudonyms.permute_text("k", "t", "d")
     pool = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in pool], "d string").selectExpr(names).collect()]
     assert sorted(got) == sorted(pool)
 
 
+def test_no_two_days_get_one_string(spark):
+    """All 146,097 days in all shapes that are read as them."""
+    days = spark.range(146097).selectExpr("date_add(date'1800-01-01', cast(id AS int)) AS day")
+    forms = ["yyyy-MM-dd", "M/d/yyyy", "MM/dd/yyyy", "d.M.yyyy", "dd.MM.yyyy", "d/M/yyyy", "dd/MM/yyyy"]
+    rows = days.selectExpr("day", "explode(array(" + ", ".join(f"named_struct('form', '{f}', 'm', date_format(day, '{f}'))" for f in forms) + ")) AS x").select("day", "x.*")
+    rows = rows.where("form not like 'd%/%' or day(day) > 12").withColumn("new", F.expr(pseudonyms.date("k"))).cache()
+    assert rows.where("new rlike '[^0-9./-]' or new is null").count() == 0
+    same = rows.groupBy("new").agg(F.count_distinct("day").alias("n"))
+    assert same.where("n <> 1").count() == 0
+    # one day has one pseudonym day, whatever the shape, and days of the month up to 12 stay so
+    parsed = F.coalesce(F.try_to_timestamp("new", F.lit("yyyy-MM-dd")), F.try_to_timestamp("new", F.lit("d.M.yyyy")), F.try_to_timestamp("new", F.lit("M/d/yyyy")), F.try_to_timestamp("new", F.lit("d/M/yyyy"))).cast("date")
+    by = rows.withColumn("p", parsed).groupBy("day").agg(F.min("p").alias("a"), F.max("p").alias("b"))
+    assert by.where("a is null or a <> b or (day(a) <= 12) <> (day(day) <= 12)").count() == 0
+    assert by.select("a").distinct().count() == 146097 == by.where("year(a) between 1800 and 2199").count()
+    rows.unpersist()
+
+
+def keyed(kind, turn, x, key):
+    return int(hashlib.sha256(f"{key}|{kind}|{turn}|{x}".encode()).hexdigest()[:15], 16)
+
+
+def pair(kind, left, right, a, b, key):
+    for k in range(1, 11):
+        if k % 2:
+            left = (left + keyed(kind, k, right, key)) % a
+        else:
+            right = (right + keyed(kind, k, left, key)) % b
+    return left, right
+
+
+def digits(kind, d, key):
+    u = len(d) // 2
+    left, right = pair(kind, int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u), key)
+    return f"{left:0{u}d}{right:0{len(d) - u}d}"
+
+
+def letters(kind, x, key, hexed=False):
+    half, alphabets = len(x) // 2, ["0123456789abcdef", "0123456789ABCDEF"] if hexed else ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
+    if hexed:
+        alphabets = alphabets[1:] if x == x.upper() else alphabets[:1]
+    parts = [x[:half], x[half:]]
+    for k in range(1, 11):
+        other = parts[k % 2]
+        h = hashlib.sha256(f"{key}|{kind}|{k}|{other.lower() if hexed else other}".encode()).digest()
+        out = ""
+        for i, c in enumerate(parts[1 - k % 2]):
+            alphabet = next((al for al in alphabets if c in al), None)
+            out += c if alphabet is None else alphabet[(alphabet.index(c) + h[i % 32]) % len(alphabet)]
+        parts[1 - k % 2] = out
+    return parts[0] + parts[1]
+
+
+def laid_out(m, new):
+    it = iter(new)
+    return "".join(next(it) if c.isdigit() else c for c in m)
+
+
+def by_hand(kind, m, key):
+    """The pseudonym of a valid value, computed without Spark."""
+    d = re.sub(r"\D", "", m)
+    if kind == "card":
+        q = d[0] + digits("card", d[1:-1], key)
+        return laid_out(m, next(q + c for c in "0123456789" if luhn(q + c)))
+    if kind == "phone":
+        c = 0 if m[0] != "+" else 1 if d[0] in "17" else 2
+        return laid_out(m, d[:c] + digits("phone", d[c:], key))
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        left, right = pair("ssn", area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 989901, key)
+        return f"{left + 1 + (left >= 665):03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
+    if kind == "ip":
+        a, b, c, e = map(int, m.split("."))
+        left, right = pair("ipv4", a * 256 + b, c * 256 + e, 65536, 65536, key)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if kind == "iban":
+        w = m.replace(" ", "")
+        body = letters("iban", w[4:], key)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + w[:2] + "00")) % 97
+        it = iter(f"{w[:2]}{check:02d}{body}")
+        return "".join(c if c == " " else next(it) for c in m)
+    if kind == "email":
+        name, _, domain = m.partition("@")
+        return letters("email", name.lower(), key) + "@" + domain
+    form = {"-": "%Y-%m-%d", ".": "%d.%m.%Y"}.get(re.search(r"\D", m)[0]) or ("%m/%d/%Y" if int(m.split("/")[1]) > 12 or int(m.split("/")[0]) <= 12 else "%d/%m/%Y")
+    t = dt.datetime.strptime(m, form)
+    month = (t.year - 1800) * 12 + t.month - 1
+    first = [dt.date(1800 + i // 12, i % 12 + 1, 1) for i in range(4800)]
+    if t.day <= 12:
+        x = month * 12 + t.day - 1
+        left, right = pair("date", x // 240, x % 240, 240, 240, key)
+        new = first[(left * 240 + right) // 12] + dt.timedelta((left * 240 + right) % 12)
+    else:
+        late = [x for f in first for x in (f + dt.timedelta(k) for k in range(12, 31)) if x.month == f.month]
+        y = late.index(t.date())
+        while True:
+            left, right = pair("date-late", y // 298, y % 298, 297, 298, key)
+            y = left * 298 + right
+            if y < len(late):
+                break
+        new = late[y]
+    text = new.strftime(form)
+    return text if re.match(r"\d\d[./]\d\d[./]|\d{4}-", m) else re.sub(r"\b0", "", text)
+
+
+@pytest.mark.parametrize("kind", list(VALID))
+def test_pseudonyms_match_an_independent_feistel(docs, kind):
+    key = "some key"
+    values = [v for v in VALID[kind] if kind != "phone" or v[0] != "+" or v[1] in "17" or v[1:3] == "44"]
+    got = [t for t, _ in changed(docs, values, key=key)]
+    assert got == [by_hand(kind, v, key) for v in values]
+
+
+def test_secrets_match_an_independent_feistel(docs):
+    key, hexed, other = "k2", "0123456789abcdef0123456789ABCDEF".lower(), "12345678901234567890g"
+    got = [t for t, _ in changed(docs, [f"token={hexed}", f"token={hexed.upper()}", f"secret: {other}", "password=zzZZ-99_aa+bb/0123456789"], key=key)]
+    assert got[0] == "token=" + letters("hex", hexed, key, True) and got[1] == "token=" + letters("hex", hexed.upper(), key, True)
+    new = letters("secret", other, key)
+    while re.fullmatch("[0-9a-f]+|[0-9A-F]+", new):
+        new = letters("secret", new, key)
+    assert got[2] == f"secret: {new}" and got[3] == "password=" + letters("secret", "zzZZ-99_aa+bb/0123456789", key)
+
+
+def test_secrets_keep_to_their_kind(spark):
+    """No secret with one other letter becomes one of hexadecimal digits, which another secret may become."""
+    rows = spark.range(400).selectExpr("concat('token=', lpad(id, 20, '0'), 'g') AS m").selectExpr(pseudonyms.secret("k") + " AS new")
+    assert rows.where("new rlike '=[0-9a-f]+$'").count() == 0 and rows.distinct().count() == 400
+
+
 def test_secrets(docs):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     (a, n), (b, _), (c, _) = changed(docs, [f'token = "{key}" x', f'TOKEN = "{key.upper()}"', "api_key: AbC123xyz-AbC123xyz-AbC1"])
