@@ -1,11 +1,17 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
-Each document is measured once by array functions inside its own row (no row per word). Failures
-are then counted by host, a host's failure rate is shrunk by a Beta prior whose parameters are
-fitted to all hosts by moments, and hosts whose shrunken rate is over a bound lose all documents.
+Each document is measured once by array functions inside its own row (no row per word). Failures of
+each rule (few words, repeated windows, symbols, repeated lines) are then counted by host. A rule has
+a Beta prior, fitted to all hosts' rates by moments, that shrinks each host's rate: the posterior of
+few documents stays near the mean of all, that of many follows their own rate. A host is rejected, and
+loses all documents, if for some rule its posterior rate less ``SURE`` standard deviations is over the
+rule's bound: the prior's mean and ``FAR`` of its standard deviations, so a rate that hosts of this
+corpus do not have, but at least ``LEAST`` (a host of mostly good documents is kept even if others
+are better) and at most ``MOST`` (a host of which most documents fail goes whatever others do).
 
 Defined cases: a null text has no words and fails; a null host is a host of its own; repeated
-rows count as often as they occur; an empty table gives an empty result. A word is a run of
+rows count as often as they occur; a very long text is measured whole; an empty table gives an empty
+result. A word is a run of
 characters other than space and U+0009 to U+000D. Extra columns are ignored by ``judge`` and kept
 by ``keep_good``.
 """
@@ -23,8 +29,14 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A host is rejected if its shrunken failure rate is over this.
-MAX_HOST_RATE = 0.5
+#: Each rule's condition on a document's measures. The first two are the base rules.
+RULES = {
+    "words": f"n_words < {MIN_WORDS}",
+    "repeats": f"n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT}",
+    "symbols": "n_symbols * 10 > n_words",
+    "lines": "n_dup_lines * 100 > n_lines * 30",
+}
+SURE, FAR, LEAST, MOST = 2.0, 2.0, 0.2, 0.5
 
 
 def pair_up(column: str, step: int) -> Column:
@@ -34,7 +46,7 @@ def pair_up(column: str, step: int) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False) -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; with
+    """doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed; with
     ``carry`` also _row, the whole row of a document that did not fail."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -48,7 +60,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         lines.alias("lines"),
     )
     step = step.select(
-        *keys, "n_symbols",
+        *keys, "n_symbols", F.size("lines").cast("long").alias("n_lines"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -66,23 +78,38 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         f"aggregate({found}, named_struct('n', 0L, 'end', 0L), (a, p) -> named_struct("
         f"'n', a.n + {WINDOW} - greatest(a.end - p, 0L), 'end', p + {WINDOW}L), a -> a.n)"
     )
-    step = step.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    step = step.withColumn("base_failed", failed)
+    step = step.select(*keys, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    step = step.withColumn("base_failed", F.expr(f"({RULES['words']}) or ({RULES['repeats']})"))
     return step.withColumn("_row", F.when(~F.col("base_failed"), F.col("_row"))) if carry else step
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """host, host_docs, host_failed, host_rate (shrunken).
+    """host, rule, host_docs, host_failed, host_rate (shrunken), bound, bad: a row for each rule."""
+    counts = [F.sum(F.expr(f"cast({rule} as bigint)")).alias(name) for name, rule in RULES.items()]
+    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), *counts)
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("host_failed")) for name in RULES]))
+    hosts = materialize(hosts.select("host", "host_docs", each), "quality-counts")
+    rate = posterior("host_failed", "host_docs")
+    sure = rate - SURE * F.sqrt(rate * (1 - rate) / (F.col("strength") + F.col("host_docs") + 1))
+    joined = hosts.join(F.broadcast(priors(hosts)), "rule")  # one row for each rule
+    return joined.select("host", "rule", "host_docs", "host_failed", rate.alias("host_rate"), "bound", (sure > F.col("bound")).alias("bad"))
+
+
+def posterior(failed: str, docs: str) -> Column:
+    """Mean of the Beta posterior of ``failed`` out of ``docs``."""
+    return (F.col("mean") * F.col("strength") + F.col(failed)) / (F.col("strength") + F.col(docs))
 
-    The prior's mean is the mean of the hosts' rates weighted by their documents; its strength
+
+def priors(hosts: DataFrame) -> DataFrame:
+    """rule, mean, strength, bound: the Beta priors, one row for each rule.
+
+    A prior's mean is the mean of the hosts' rates weighted by their documents; its strength
     follows from how much more the rates vary than counts of such size would by chance.
     """
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
-    total = hosts.agg(
+    total = hosts.groupBy("rule").agg(
         F.count(F.lit(1)).alias("k"), F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"),
-        F.sum(F.col("host_docs") * F.col("host_docs")).alias("nn"),
-        F.sum(F.col("host_failed") * F.col("host_failed") / F.col("host_docs")).alias("ff"),
+        F.sum(F.col("host_docs").cast("double") * F.col("host_docs")).alias("nn"),
+        F.sum(F.col("host_failed").cast("double") * F.col("host_failed") / F.col("host_docs")).alias("ff"),
     )
     m = F.col("f") / F.col("n")
     between = (F.col("ff") - F.col("n") * m * m) - (F.col("k") - 1) * m * (1 - m)
@@ -90,29 +117,33 @@ def host_rates(measured: DataFrame) -> DataFrame:
     # share of the variance m (1 - m) that lies between hosts, in (0, 1)
     rho = F.when((spread > 0) & (m > 0) & (m < 1), between / (spread * m * (1 - m)))
     rho = F.least(F.greatest(F.coalesce(rho, F.lit(0.0)), F.lit(1e-3)), F.lit(0.999))
-    strength = 1 / rho - 1
-    fit = total.select((m * strength).alias("a"), ((1 - m) * strength).alias("b")).first()  # one row
-    a, b = F.lit(fit["a"]).cast("double"), F.lit(fit["b"]).cast("double")
-    rate = (a + F.col("host_failed")) / (a + b + F.col("host_docs"))
-    return hosts.withColumn("host_rate", rate)
+    fitted = total.select("rule", m.alias("mean"), rho.alias("rho"))
+    usual = F.col("mean") + FAR * F.sqrt(F.col("mean") * (1 - F.col("mean")) * F.col("rho"))
+    bound = F.least(F.greatest(usual, F.lit(LEAST)), F.lit(MOST))
+    return fitted.select("rule", "mean", (1 / F.col("rho") - 1).alias("strength"), bound.alias("bound"))
 
 
-def with_hosts(measured: DataFrame, max_host_rate: float) -> DataFrame:
-    """Joins the hosts' figures back and adds kept."""
-    hosts = materialize(host_rates(measured).withColumnRenamed("host", "_host"), "quality-hosts")
+def with_hosts(measured: DataFrame) -> DataFrame:
+    """Joins the hosts' verdicts back and adds kept."""
+    verdicts = host_rates(measured).groupBy(F.col("host").alias("_host")).agg(
+        F.map_from_entries(F.collect_list(F.struct("rule", "host_rate"))).alias("host_rates"),  # one entry for each rule
+        F.array_sort(F.collect_list(F.when(F.col("bad"), F.col("rule")))).alias("host_failures"),
+    )
+    hosts = materialize(verdicts, "quality-hosts")
     joined = measured.join(hosts, measured["host"].eqNullSafe(hosts["_host"])).drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.size("host_failures") == 0))
 
 
-def judge(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, **columns) -> DataFrame:
-    """One row per document: the measures, base_failed, kept, and the host's figures."""
-    return with_hosts(materialize(features(docs, **columns), "quality-features"), max_host_rate)
+def judge(docs: DataFrame, **columns) -> DataFrame:
+    """One row per document: the measures, base_failed, kept, and its host's shrunken rates by rule and
+    the rules for which the host is rejected."""
+    return with_hosts(materialize(features(docs, **columns), "quality-features"))
 
 
-def keep_good(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, **columns) -> DataFrame:
+def keep_good(docs: DataFrame, **columns) -> DataFrame:
     """The rows of ``docs`` that neither fail the base rules nor come from a rejected host."""
     measured = materialize(features(docs, carry=True, **columns), "quality-rows")
-    return with_hosts(measured, max_host_rate).where("kept").select("_row.*")
+    return with_hosts(measured).where("kept").select("_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,22 +161,26 @@ win AS (SELECT doc_id, i, hash(list_slice(words, i, i + 7)) AS h, list_slice(wor
         FROM w, unnest(range(1, len(words) - 6)) AS t(i)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h, run) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(8) AS r(k) GROUP BY doc_id),
-lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n
           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
           WHERE regexp_matches(line, '[^ 	-
 ]') GROUP BY doc_id),
 m AS (SELECT w.doc_id, w.source, len(words) AS n_words,
              length(array_to_string(words, '')) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-             coalesce(lines.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+             coalesce(n_lines, 0) AS n_lines, coalesce(lines.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
       FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed FROM m),
-h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS f FROM b GROUP BY source),
-t AS (SELECT count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS m, sum(n * n) AS nn, sum(f * f / n) AS ff FROM h),
-r AS (SELECT *, CASE WHEN n - nn / n - (k - 1) = 0 OR m <= 0 OR m >= 1 THEN NULL
-             ELSE ((ff - n * m * m) - (k - 1) * m * (1 - m)) / ((n - nn / n - (k - 1)) * m * (1 - m)) END AS rho FROM t),
-p AS (SELECT m, 1 / least(greatest(coalesce(rho, 0.0), 1e-3), 0.999) - 1 AS s FROM r),
-v AS (SELECT h.source, (p.m * p.s + h.f) / (p.s + h.n) <= 0.5 AS good FROM h, p)
+h AS (SELECT source, count(*)::DOUBLE AS n, r.rule, (count(*) FILTER (WHERE CASE r.rule
+        WHEN 1 THEN n_words < 20 WHEN 2 THEN n_repeat_words * 100 > n_words * 30
+        WHEN 3 THEN n_symbols * 10 > n_words ELSE n_dup_lines * 100 > n_lines * 30 END))::DOUBLE AS f
+      FROM b, range(1, 5) AS r(rule) GROUP BY source, r.rule),
+t AS (SELECT rule, count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS m, sum(n * n) AS nn, sum(f * f / n) AS ff FROM h GROUP BY rule),
+r AS (SELECT *, CASE WHEN n - nn / n - (k - 1) <= 0 OR m <= 0 OR m >= 1 THEN 0.0
+             ELSE ((ff - n * m * m) - (k - 1) * m * (1 - m)) / ((n - nn / n - (k - 1)) * m * (1 - m)) END AS raw FROM t),
+p AS (SELECT rule, m, least(greatest(raw, 1e-3), 0.999) AS rho, 1 / least(greatest(raw, 1e-3), 0.999) - 1 AS s FROM r),
+g AS (SELECT source, h.n, h.f, p.s, least(greatest(m + 2 * sqrt(m * (1 - m) * rho), 0.2), 0.5) AS bound, (m * s + f) / (s + h.n) AS rate FROM h JOIN p USING (rule)),
+v AS (SELECT source, NOT bool_or(rate - 2 * sqrt(rate * (1 - rate) / (s + n + 1)) > bound) AS good FROM g GROUP BY source)
 SELECT b.doc_id, b.n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND v.good AS kept, b.source

@@ -26,7 +26,7 @@ def test_stages(spark, sf_dir, tmp_path):
         if name != "tokens":
             assert sorted(kept.columns) == sorted(COLUMNS)
     good = {r.doc_id for r in out["quality"].collect()}
-    assert good == {k for k, t in texts.items() if not measures(t)[5]}
+    assert good == {k for k, t in texts.items() if not measures(t)[6]}
     single = {r.doc_id for r in out["near_copies"].collect()}
     assert single == {k for k, (_, c) in groups({k: texts[k] for k in good}, 5, 80).items() if k == c}
     masked = {r.doc_id: r.text for r in out["pseudonyms"].collect()}
