@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from compare import connect, duck_rows, spark_rows
 from pyspark.sql import functions as F
@@ -15,6 +16,27 @@ def fits(host, path, rule):
     return bool(host) and (host == h or host.endswith("." + h)) and path.startswith(p)
 
 
+def canonical(url):
+    """The form in which URLs are listed, in plain Python."""
+    if url is None or "://" not in url:
+        return None
+    rest = url.split("://", 1)[1].split("#", 1)[0]
+    rest, _, query = rest.partition("?")
+    host, slash, path = rest.partition("/")
+    host = "".join(c.lower() if c.isascii() else c for c in host).rsplit("@", 1)[-1]
+    host = re.sub(r"^(www\.)+(?=.)", "", re.sub(r":(80|443)?$", "", host)).rstrip(".")
+    if not host:
+        return None
+
+    def decode(text):
+        fix = lambda m: chr(int(m[1], 16)) if re.fullmatch(r"[A-Za-z0-9._~-]", chr(int(m[1], 16))) else m[0].upper()
+        return re.sub("%([0-9A-Fa-f]{2})", fix, text)
+
+    path = re.sub("/$", "", re.sub("/{2,}", "/", decode(slash + path)))
+    telling = sorted(x for x in query.split("&") if x and not re.match(r"(utm_[^=]*|fbclid|gclid|ref|sid)(=|$)", x))
+    return host + path + ("?" + decode("&".join(telling)) if telling else "")
+
+
 def brute(url, rules, listed=()):
     host = path = ""
     if url is not None and "://" in url:
@@ -25,7 +47,19 @@ def brute(url, rules, listed=()):
     best = max((r for r in rules if fits(host, path, r)), key=lambda r: len(r[1] + r[2]), default=None)
     if best:
         return host, path, best[1] + best[2], best[0]
-    return host, path, None, "block" if host + path in listed else "allow"
+    return host, path, None, "block" if canonical(url) in listed and canonical(url) else "allow"
+
+
+URLS = [
+    None, "", "x", "://", "http://", "http://./", "http://www./a", "HTTP://Www.A.b:80/x/#f", "https://u:p@a.b:443//x//y/?b=2&a=1&utm_source=q&ref=z", "http://a.b/x?ref=1", "http://a.b./x",
+    "http://a.b/%7Ex%2fy%zz%", "http://a.b/%41%e4?q=%3d&&q=%2D", "http://www.www.a.b", "http://a.b:8080/x", "http://ä.b/é?", "http://a.b/" + "x/" * 20_000, "http://" + "s." * 5_000 + "a.b/x", "http://a.b/x\ny?c\nd",
+]
+
+
+def test_canonical_form_matches_plain_python(spark):
+    rows = spark.createDataFrame(list(enumerate(URLS)), "i int, url string").select("i", urlfilter.canonical_url(F.col("url")).alias("c")).collect()
+    assert {r.i: r.c for r in rows} == {i: canonical(u) for i, u in enumerate(URLS)}
+    assert canonical(URLS[8]) == "a.b/x/y?a=1&b=2" and canonical(URLS[11]) == "a.b/~x%2Fy%zz%"
 
 
 def test_rules_match_brute_force(spark):
@@ -37,17 +71,39 @@ def test_rules_match_brute_force(spark):
     urls += urls[:20]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], PAGES).withColumn("host", F.lit("clash"))
     rules = spark.createDataFrame(urlfilter.RULES, urlfilter.LISTING)
-    listed = spark.createDataFrame([("http://example.org/en/",), (None,)], "url string")
+    listed = spark.createDataFrame([("http://www.example.org/en/?utm_source=x",), (None,)], "url string")
     out = urlfilter.judge_urls(pages, rules, listed)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
-    assert got == {i: brute(u, urlfilter.RULES, {"example.org/en/"}) for i, u in enumerate(urls)}
+    assert got == {i: brute(u, urlfilter.RULES, {"example.org/en"}) for i, u in enumerate(urls)}
+    assert sum(v[3] == "block" and v[2] is None for v in got.values()) >= 3
+
+
+def test_exact_join_removes_false_positives(spark):
+    """A filter too small for its listing lets URLs through that are not listed; none is blocked."""
+    pages = spark.range(2000).selectExpr("id AS page_id", "concat('http://h', id % 40, '.org/p/', id, '/?utm_x=1') AS url", "'' AS html")
+    listed = spark.range(0, 2000, 4).selectExpr("concat('https://WWW.h', id % 40, '.org/p/', id) AS url")
+    none = spark.createDataFrame([], urlfilter.LISTING)
+    for blocks in (None, 4):
+        got = urlfilter.judge_urls(pages, none, listed, blocks=blocks).collect()
+        assert all((r.verdict == "block") == r.listed == (r.page_id % 4 == 0) for r in got)
+        assert all(r.passed for r in got if r.listed)
+        assert 0 < sum(r.passed and not r.listed for r in got)
+
+
+def test_many_rules_with_hot_hosts(spark):
+    """Rules of thousands of path lengths cost a URL only those of its own host's rules."""
+    rules = [("block", "com", "/" + "x" * k) for k in range(40)] + [("allow", f"h{k}.net", "/" + "y" * (k % 900)) for k in range(3000)]
+    urls = [f"http://a{k}.com/{'x' * (k % 50)}" for k in range(300)] + [f"http://h{k}.net/{'y' * 899}" for k in range(0, 3000, 10)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], PAGES)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(pages, spark.createDataFrame(rules, urlfilter.LISTING), spark.createDataFrame([], "url string")).collect()}
+    assert got == {i: brute(u, rules[:40] if ".com" in u else [r for r in rules if r[1] == u.split("/")[2]]) for i, u in enumerate(urls)}
 
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], urlfilter.LISTING)
     listed = spark.createDataFrame([], "url string")
     pages = spark.createDataFrame([(1, "http://a.b/", None)], PAGES)
-    assert [tuple(r) for r in urlfilter.judge_urls(pages, none, listed).collect()] == [(1, "a.b", "/", None, "allow", False)]
+    assert [tuple(r) for r in urlfilter.judge_urls(pages, none, listed).collect()] == [(1, "a.b", "/", None, "allow", False, False)]
     assert urlfilter.judge_urls(pages.limit(0), none, listed).count() == 0
 
 
