@@ -6,16 +6,21 @@ spaced keys between them; a pass over the keys counts the bytes below all probes
 of one row per probe. Probing ends when every splitter is within tolerance or its two keys are
 neighbours. Probes are keys of any hash, so a group of equal texts is only cut where it is too
 large to lie on one side. The rows are then exchanged once, by ranges of the order that hold about
-``RANGE_ROWS`` rows each; a row's slot is its place in its range plus the rows in the shard's
-earlier ranges, which the last count has told.
+``RANGE_ROWS`` rows each, or more where a shard would have over ``MOST_RANGES`` of them; a row's slot
+is its place in its range plus the rows in the shard's earlier ranges, which a last exact count has
+told. The edges of ranges lie at keys of a sample of bounded size, so a group of equal texts is
+divided like any other rows; they only spread work and do not change the result.
 
 Defined cases: a null text has no bytes, size 8 and checksum 0; a null id sorts before all others;
-rows that agree in text and id are one key and stay together; an empty table gives an empty
-result. Extra columns are ignored by ``shard_rows`` and kept by ``write_shards``.
+rows that agree in text and id are one key and stay together; a very long text is one row like any
+other, and its shard may exceed the others by its size; an empty table gives an empty result. Extra
+columns are ignored by ``shard_rows`` and kept by ``write_shards``, which adds "_" to the name of
+its own column until no column has it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.scratch import materialize
+from lumenframe.llm.scratch import discard, materialize
 
 SHARDS = 24
 #: A splitter's error, as a share of a shard's bytes.
 TOLERANCE = 0.002
 PROBES = 24
-RANGE_ROWS = 4096
+RANGE_ROWS = 65536
+MOST_RANGES = 1024
+#: Sampled keys for each range.
+SAMPLED = 64
 LOW = -(1 << 63)
 
 
@@ -78,7 +86,7 @@ def place(h: np.ndarray, d: np.ndarray, ph: np.ndarray, pd: np.ndarray) -> np.nd
 
 def count_between(keys: DataFrame, probes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and rows in each of the len(probes) + 1 ranges between ascending probes."""
-    ph, pd = (np.array([p[k] for p in probes], dtype=np.int64) for k in (0, 1))
+    ph, pd = columns_of(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, rows = np.zeros(len(ph) + 1, np.int64), np.zeros(len(ph) + 1, np.int64)
@@ -128,26 +136,35 @@ def find_splitters(keys: DataFrame, order: Keys, total: int, shards: int, tolera
     return [max(out[: k + 1]) for k in range(shards - 1)]
 
 
+def sampled_keys(keys: DataFrame, order: Keys, n: int, ranges: int) -> list[int]:
+    """Ascending keys of about ``SAMPLED`` times ``ranges`` rows, chosen by a hash of the key."""
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(29), "h", "d"), 11) / float(1 << 53)
+    some = keys.where(draw < min(1.0, ranges * SAMPLED / n)).select("h", "d").toArrow()  # bounded by MOST_RANGES
+    return sorted({order.whole(h, d) for h, d in zip(some.column(0).to_pylist(), some.column(1).to_pylist())})
+
+
 def plan_shards(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, range_rows: int = RANGE_ROWS):
-    """(probes between ranges, each range's shard, its first slot), or None for no rows."""
+    """(probes between ranges, each range's shard, its first slot, its rows), or None for no rows."""
     top = keys.agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).first()
     if not top["n"]:
         return None
     order = Keys(top["low"], top["high"])
     splitters = find_splitters(keys, order, top["size"], shards, tolerance)
-    pieces = max(1, -(-top["n"] // (shards * range_rows)))
+    pieces = min(MOST_RANGES, max(1, -(-top["n"] // (shards * range_rows))))
+    some = sampled_keys(keys, order, top["n"], shards * pieces) if pieces > 1 else []
     edges = [0, *splitters, order.end]
     owners, starts = [], []
     for k in range(shards):
-        for i in range(pieces):
-            owners.append(k)
-            starts.append(edges[k] + (edges[k + 1] - edges[k]) * i // pieces)
+        inside = some[bisect_right(some, edges[k]) : bisect_left(some, edges[k + 1])]
+        cuts = {inside[len(inside) * i // pieces] for i in range(1, pieces)} if inside else set()
+        starts += [edges[k], *sorted(cuts)]
+        owners += [k] * (1 + len(cuts))
     probes = [order.parts(min(s, order.end - 1)) for s in starts[1:]]
     _, rows = count_between(keys, probes)
     owners = np.array(owners)
     before = np.cumsum(rows) - rows
     first = np.array([before[owners == k][0] for k in range(shards)])
-    return probes, owners, before - first[owners]
+    return probes, owners, before - first[owners], rows
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, range_rows: int = RANGE_ROWS, **columns) -> DataFrame:
@@ -156,8 +173,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
     plan = plan_shards(keys, shards, tolerance, range_rows)
     if plan is None:
         return keys.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    probes, owners, starts = plan
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([p[0] for p in probes], dtype=np.int64), np.array([p[1] for p in probes], dtype=np.int64), owners, starts))
+    probes, owners, starts, _ = plan
+    shared = docs.sparkSession.sparkContext.broadcast((*columns_of(probes), owners, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ph, pd, owners, starts = shared.value
@@ -173,21 +190,39 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
     return ranged.select("doc_id", "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> None:
+def columns_of(probes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    ph, pd = (np.array([p[k] for p in probes], dtype=np.int64) for k in (0, 1))
+    return ph, pd
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE, range_rows: int = RANGE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes whole rows as Parquet under ``path``/shard=k, exchanged once. A shard's files are cut
-    by ranges of the order, so no task holds a shard."""
+    by ranges of the order, so no task holds a shard. Returns the name of the column for the shard."""
     keys = materialize(slim(docs, id_col, text_col), "shard-keys")
-    plan = plan_shards(keys, shards, tolerance)
-    h, d = text_hash(F.col(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW))
-    shard, number = F.lit(0), F.lit(0)
-    if plan is not None:
-        probes, owners, _ = plan
-        for i, (ph, pd) in enumerate(probes):
-            past = ((h > ph) | ((h == ph) & (d >= pd))).cast("int")
-            number = number + past
-            if owners[i + 1] != owners[i]:
-                shard = shard + past
-    docs.withColumn("shard", shard).repartition(number).write.partitionBy("shard").parquet(path)
+    plan = plan_shards(keys, shards, tolerance, range_rows)
+    discard(keys)
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    if plan is None:
+        docs.withColumn(name, F.lit(0)).write.partitionBy(name).parquet(path)
+        return name
+    probes, owners, _, _ = plan
+    shared = docs.sparkSession.sparkContext.broadcast((*columns_of(probes), owners))
+
+    @F.arrow_udf("long")
+    def where(h: pa.Array, d: pa.Array) -> pa.Array:
+        """Shard and range in one number; the texts stay in the JVM."""
+        ph, pd, owners = shared.value
+        at = place(h.to_numpy(), d.to_numpy(), ph, pd)
+        return pa.array(owners[at] << 32 | at)
+
+    row = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        where(text_hash(F.col(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW))).alias("at"))
+    row = row.repartitionById(len(owners), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    row.select("row.*", F.shiftright("at", 32).cast("int").alias(name)).write.partitionBy(name).parquet(path)
+    return name
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
