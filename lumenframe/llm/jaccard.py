@@ -1,31 +1,38 @@
 """N-gram Jaccard join: groups of documents whose shingle sets overlap.
 
-1. Documents with equal shingle sets are one class; only its smallest id goes on.
-2. Shingles are ordered rare first: by their count over all documents in a table of hashed counters
-   (its size is a parameter, so it can be broadcast), then by hash. Sets that overlap enough share
-   a shingle among the first ones of that order, the prefix, whose length the threshold gives.
-3. Prefix shingles that two or more classes have are joined. Lengths, the positions of the shingle
-   and a histogram of the sets (which bounds how far they differ beyond it) exclude pairs.
+1. Documents with equal shingle sets are one class; only the row with its smallest id goes on.
+2. Shingles are ordered rare first: by their count over all documents in a table of hashed counters,
+   then by hash. The table has 2**20 to 2**22 counters, by the size of the corpus, so it can be
+   broadcast; in a large corpus counts below a counter's share of all shingles look alike, but those of
+   frequent shingles stand out. Sets that overlap enough share a shingle among the first ones of that
+   order, the prefix, whose length the threshold gives.
+3. Prefix shingles that two or more classes have are joined, under the length, positional and suffix
+   filters: no shingle before a pair's first common one is in both sets, and the suffixes after it,
+   split at seven fixed pivots into eight parts, differ by at least the differences of their parts.
 4. Joining all pairs of a shingle would grow with the square of a group of near copies. So each
    class is first compared with one pivot of each of its prefix shingles, which is linear, and
    the links found are closed to components. The pivot is the class with fewest rarer shingles,
    so the one nearest to what a group of near copies was made from. Then all pairs of a shingle that lie in different
    components are compared, which needs one of them to be outside the pivot's component; pairs
-   inside one component cannot change it. No link between components is lost.
+   inside one component cannot change it. No link between components is lost. A shingle that many
+   classes have is split there: by bands of set sizes, of which only neighbours can be similar, and
+   over as many tasks as its classes need.
 5. A pair is verified once, on the sets built from the whole texts.
 
 Words and shingles are compared by 64-bit hashes.
 
 Defined cases: a null text, or one without words, has no shingles and is linked with nothing; with
 fewer words than a shingle takes, the whole sequence is the one shingle; rows with equal ids are one
-document if their texts are equal, and one node of the links in any case; a null id is a group of
-its own; empty tables give empty results. Extra columns are ignored by ``jaccard_groups`` and kept
-by ``drop_near_copies``.
+document, linked with all that any of their texts is linked with; a row with a null id belongs to the
+group of the documents with its very set, if there are any, links nothing itself, and is never
+dropped; very long texts are compared whole; empty tables give empty results. Extra columns are
+ignored by ``jaccard_groups`` and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +45,14 @@ from lumenframe.llm.bloom import only, without
 from lumenframe.llm.components import connected_components
 from lumenframe.llm.scratch import discard, materialize
 from lumenframe.llm.wordhash import shingle_sets
+from lumenframe.operators.joins import estimated_bytes
 
-#: Counters of the shingle order: 2**COUNTER_BITS of four bytes are broadcast.
-COUNTER_BITS = 20
+#: Counters of the shingle order, of four bytes, are a power of two between these, about one for each
+#: MB of documents.
+FEWEST_BITS, MOST_BITS = 20, 22
 CHUNK = 4096
+#: Classes of a shingle from which on it is split by set sizes, and over further tasks.
+BANDED, SALTED = 256, 4096
 
 
 def needed(a: Column, b: Column, percent: int) -> Column:
@@ -49,74 +60,85 @@ def needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100.0 + percent) - 1e-9)
 
 
-def measure(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (doc_id, n, print of its set), and one per task and chunk of counters
-    (chunk, its counts): the counts of the hashed shingles of the task's documents."""
+def counter_bits(docs: DataFrame) -> int:
+    return min(MOST_BITS, max(FEWEST_BITS, (estimated_bytes(docs) >> 20).bit_length()))
+
+
+def measure(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """One row per document (doc_id, h of its text, n, print of its set), and one per task and chunk of
+    counters (chunk, its counts in numbers of n bytes): the counts of the task's hashed shingles."""
+    names = ["doc_id", "h", "n", "print", "chunk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << COUNTER_BITS, np.int64)
-        names = ["doc_id", "n", "print", "chunk"]
+        counters = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for lo, hi, data, offsets in pieces(batch, 1):
+            for lo, hi, data, offsets in pieces(batch, 2):
                 sets = shingle_sets(data, offsets, width)
-                np.add.at(counters, (np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+                np.add.at(counters, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), 1)
                 prints = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.nulls(hi - lo, pa.int32())], names=names)
+                keys = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.nulls(hi - lo, pa.int32())], names=names)
         full = [k for k in range(len(counters) // CHUNK) if counters[k * CHUNK : (k + 1) * CHUNK].any()]
-        counts = [counters[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in full]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(counts, pa.binary()), pa.array(full, pa.int32())], names=names)
+        parts = [counters[k * CHUNK : (k + 1) * CHUNK] for k in full]
+        parts = [p.astype(np.min_scalar_type(p.max())) for p in parts]
+        none = pa.nulls(len(full), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([p.itemsize for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(full, pa.int32())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, chunk int")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, print binary, chunk int")
 
 
-def add_counters(measured: DataFrame) -> np.ndarray:
-    """The counters of all tasks summed, as 32-bit numbers."""
+def add_counters(measured: DataFrame, bits: int) -> np.ndarray:
+    """The counters of all tasks summed, as 32-bit numbers. A chunk's sum needs a chunk of memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
+            for chunk, size, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, f"u{size}").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
-    rows = measured.where("chunk is not null").select("chunk", "print").repartition(16, "chunk")
-    for r in rows.mapInArrow(run, "chunk int, counts binary").toLocalIterator():  # 8 MB in all
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out, 2**32 - 1).astype(np.uint32)
+    out = np.zeros(1 << bits, np.uint32)
+    rows = measured.where("chunk is not null").select("chunk", "n", "print").repartition("chunk")  # 256 chunks or more
+    for r in rows.mapInArrow(run, "chunk int, counts binary").toLocalIterator():  # 16 MB at most
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint32)
+    return out
 
 
-def histogram(s: np.ndarray) -> int:
-    """Counts of a set's shingles in eight ranges of hashes, up to 255 each, in one 64-bit number."""
-    counts = np.minimum(np.bincount(((s >> np.uint64(37)) & np.uint64(7)).astype(np.int64), minlength=8), 255)
-    return int(np.frombuffer(counts.astype(np.uint8).tobytes(), np.int64)[0])
+def suffix_parts(s: np.ndarray, p: int) -> np.ndarray:
+    """For each of the first p places of an ordered set, how many of the shingles after it lie in each
+    of eight ranges of hashes, up to 255 each, in one 64-bit number."""
+    part = ((s >> np.uint64(37)) & np.uint64(7)).astype(np.int64)
+    upto = np.cumsum(part[:p, None] == np.arange(8), axis=0)
+    after = np.minimum(np.bincount(part, minlength=8) - upto, 255)
+    return np.ascontiguousarray(after.astype(np.uint8)).view(np.int64)[:, 0]
 
 
 def prefixes(docs: DataFrame, counters: np.ndarray, width: int, percent: int) -> DataFrame:
-    """gram, doc_id, n, pos, hist: a row for each prefix shingle."""
+    """gram, doc_id, n, pos, parts (of the suffix): a row for each prefix shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
+        bits = len(counters).bit_length() - 1
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in pieces(batch, 1):
-                gram, who, size, pos, hist = [], [], [], [], []
+                gram, who, size, pos, parts = [], [], [], [], []
                 for doc, s in zip(ids[lo:hi], shingle_sets(data, offsets, width)):
                     n = len(s)
                     if not n:
                         continue
                     p = n - -(-n * percent // 100) + 1
-                    order = np.lexsort((s, counters[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))[:p]
-                    gram.append(s[order])
+                    s = s[np.lexsort((s, counters[(s >> np.uint64(64 - bits)).astype(np.int64)]))]
+                    gram.append(s[:p])
                     who.append(np.full(p, doc, np.int64))
                     size.append(np.full(p, n, np.int32))
                     pos.append(np.arange(p, dtype=np.int32))
-                    hist.append(np.full(p, histogram(s), np.int64))
+                    parts.append(suffix_parts(s, p))
                 if gram:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gram).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (who, size, pos, hist))], names=["gram", "doc_id", "n", "pos", "hist"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gram).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (who, size, pos, parts))], names=["gram", "doc_id", "n", "pos", "parts"])
 
-    return docs.mapInArrow(run, "gram long, doc_id long, n int, pos int, hist long")
+    return docs.mapInArrow(run, "gram long, doc_id long, n int, pos int, parts long")
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -125,19 +147,19 @@ def may_link(a: str, b: str, percent: int) -> Column:
     overlap = needed(na, nb, percent)
     apart = F.lit(0)
     for k in range(8):
-        byte = lambda t: F.shiftrightunsigned(F.col(f"{t}.hist"), 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
+        byte = lambda t: F.shiftrightunsigned(F.col(f"{t}.parts"), 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
         apart = apart + F.abs(byte(a) - byte(b))
     return (
         (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
         & (F.least(na - pa_, nb - pb) >= overlap)
-        & (apart <= na + nb - 2 * overlap)
+        & (apart <= na + nb - 2 * overlap - pa_ - pb)
     )
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets are similar enough. ``docs``: doc_id, text."""
-    ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    texts = only(docs, "doc_id", materialize(ids, "jaccard-ids")).dropDuplicates(["doc_id"])
+    """The pairs (x, y) any of whose sets are similar enough. ``docs``: doc_id, h, text."""
+    ids = materialize(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "jaccard-ids")
+    texts = only(docs, "doc_id", ids).repartition("doc_id").dropDuplicates(["doc_id", "h"])
     both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
     both = both.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
 
@@ -152,46 +174,75 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
 
-    return both.mapInArrow(run, "x long, y long")
+    links = materialize(both.mapInArrow(run, "x long, y long"), "jaccard-links")
+    discard(ids)
+    return links
+
+
+def dealt(rows: DataFrame, percent: int, everywhere: bool) -> DataFrame:
+    """Adds band and salt to rows of prefix shingles (with c, the shingle's classes): a shingle's rows
+    of similar sizes meet if one side lies at its own place and the other ``everywhere`` it may be."""
+    step = max(math.log(100 / percent), 0.01) * (1 + 1e-6)  # sizes of similar sets are at most one band apart
+    band = F.when(F.col("c") > BANDED, F.floor(F.log("n") / step)).otherwise(0)
+    salts = F.ceil(F.col("c") / SALTED)
+    if not everywhere:
+        return rows.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts))
+    near = F.when(F.col("c") > BANDED, F.array(band - 1, band, band + 1)).otherwise(F.array(band))
+    return rows.withColumn("band", F.explode(near)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (the smallest id of the same set)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    measured = materialize(measure(docs, width), "jaccard-sets")
-    counters = add_counters(measured)
-    rows = measured.where("chunk is null").select("doc_id", "n", "print")
-    classes = materialize(rows.where("n > 0").groupBy("n", "print").agg(F.min("doc_id").alias("class_id")), "jaccard-classes")
-    member = rows.join(classes, ["n", "print"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
+    bits = counter_bits(docs)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    measured = materialize(measure(docs, width, bits), "jaccard-sets")
+    counters = add_counters(measured, bits)
+    rows = measured.where("chunk is null").select("doc_id", "h", "n", "print")
+    classes = rows.where("n > 0").groupBy("n", "print").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first"))
+    classes = materialize(classes.select("n", "print", "class_id", F.col("first.h").alias("class_h")), "jaccard-classes")
+    member = rows.join(classes, ["n", "print"], "left").select("doc_id", "h", "n", F.coalesce("class_id", "doc_id").alias("class_id"), "class_h")
     member = materialize(member, "jaccard-members")
-    copies = member.where("class_id <> doc_id").select("doc_id").distinct()
-    singles = without(docs.where("doc_id is not null"), "doc_id", materialize(copies, "jaccard-copies"))
+    discard(measured)
+    # all rows but each class's first go; they are told by id and text
+    key = F.struct("doc_id", "h").alias("row")
+    copies = member.where("class_id is not null and (class_id <> doc_id or class_h <> h)").select(key).distinct()
+    copies = materialize(copies, "jaccard-copies")
+    known = docs.where("doc_id is not null").select("doc_id", "text", key)
+    singles = without(known, "row", copies).select("doc_id", "text")
     index = materialize(prefixes(singles, counters, width, percent), "jaccard-prefixes")
     shared = index.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     held = materialize(index.join(shared, "gram", "left_semi"), "jaccard-shared")
-    discard(index)
-    pivots = held.groupBy("gram").agg(F.min_by(F.struct("doc_id", "n", "pos", "hist"), F.struct("pos", F.xxhash64("doc_id"), "doc_id")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    pivots = materialize(pivots.select("gram", "p.*"), "jaccard-pivots")
+    for done in (index, copies, classes):
+        discard(done)
+    pivots = held.groupBy("gram").agg(F.min_by(F.struct("doc_id", "n", "pos", "parts"), F.struct("pos", F.xxhash64("doc_id"), "doc_id")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    pivots = materialize(pivots.select("gram", "c", "p.*"), "jaccard-pivots")
     pair = lambda a, b: (F.least(F.col(f"{a}.doc_id"), F.col(f"{b}.doc_id")).alias("x"), F.greatest(F.col(f"{a}.doc_id"), F.col(f"{b}.doc_id")).alias("y"))
     star = held.alias("a").join(pivots.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.doc_id") != F.col("b.doc_id")) & may_link("a", "b", percent))
     tried = materialize(star.select(*pair("a", "b")).distinct(), "jaccard-tried")
-    links = materialize(verify(tried, docs, width, percent), "jaccard-links")
+    # an id with several sets links the classes of them
+    several = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("doc_id")
+    same = member.join(several, "doc_id", "left_semi").where("class_id <> doc_id").select(F.col("doc_id").alias("x"), F.col("class_id").alias("y"))
+    found = verify(tried, docs, width, percent)
+    links = materialize(found.union(same).distinct(), "jaccard-links")
     parts = connected_components(links)
     # every row with its component, and its pivot's
     named = held.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    top = pivots.select("gram", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("gram", F.coalesce("component", "doc_id").alias("top"))
+    top = pivots.select("gram", "c", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("gram", "c", F.coalesce("component", "doc_id").alias("top"))
     named = materialize(named.join(top, "gram"), "jaccard-named")
-    outside = named.where("component <> top")
+    outside = dealt(named.where("component <> top"), percent, everywhere=False)
     rest = outside.alias("a").join(
-        named.alias("b"),
-        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") != F.col("b.component"))
+        dealt(named, percent, everywhere=True).alias("b"),
+        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.component") != F.col("b.component"))
         & ((F.col("b.component") == F.col("b.top")) | (F.col("a.doc_id") < F.col("b.doc_id"))) & may_link("a", "b", percent),
     )
     rest = rest.select(*pair("a", "b")).distinct().join(tried, ["x", "y"], "left_anti")
     rest = materialize(rest, "jaccard-rest")
-    more = materialize(verify(rest, docs, width, percent), "jaccard-links")
+    more = verify(rest, docs, width, percent)
     if more.limit(1).count():
+        discard(parts)
         parts = connected_components(links.union(more))
+    for done in (found, held, pivots, tried, links, named, rest, more):
+        discard(done)
     parts = parts.select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     out = member.join(parts, "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "class_id").alias("component_id"), "class_id")
