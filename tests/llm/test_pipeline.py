@@ -7,8 +7,10 @@ from collections import Counter
 import pytest
 from tokenizers import Tokenizer
 
-from lumenframe.llm import bpe, mixing, pseudonyms
+from lumenframe.llm import bpe, pseudonyms
 from test_jaccard import brute as groups
+from test_mixing import mixed_by_hand
+from test_pseudonyms import by_hand_text
 from test_quality import brute as measures
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -31,9 +33,8 @@ def test_stages(spark, sf_dir, tmp_path):
     assert single == {k for k, (_, c) in groups({k: texts[k] for k in good}, 5, 80).items() if k == c}
     masked = {r.doc_id: r.text for r in out["pseudonyms"].collect()}
     assert set(masked) == single
-    again = pseudonyms.pseudonymize(out["near_copies"])
-    assert masked == {r.doc_id: r.text for r in again.collect()}
-    copies = {r.doc_id: r.copies for r in mixing.mix_sizes(out["pseudonyms"]).collect() if r.copies}
+    assert masked == {k: by_hand_text(texts[k], pseudonyms.DEFAULT_KEY) for k in single}
+    copies = mixed_by_hand(out["pseudonyms"])
     assert Counter(r.doc_id for r in out["mixing"].collect()) == Counter(copies)
     library = Tokenizer.from_file(bpe.default_vocabulary())
     rows = out["tokens"].collect()
