@@ -6,6 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long, so 2,000 rows go to a Python worker at once rather than Spark's default of
+    10,000. A session's own setting stays."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
+
 
 #: Bytes of text handled at once; a longer text is a piece of its own.
 PIECE = 1 << 19

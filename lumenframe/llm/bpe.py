@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.llm.arrowtext import bounded_batches
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 256
-KNOWN = 200_000
+KNOWN = 100_000
 #: Bytes of text for which one output batch is built.
 OUT_BYTES = 1 << 22
 NO_RANK = 1 << 60
@@ -163,6 +165,7 @@ def vocabulary(path: str) -> Vocabulary:
 def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
     """``docs`` without its text, plus ids (array of int) and, if asked for, decoded (string), which
     is read back from the ids. ``path`` names the vocabulary file, present on every executor."""
+    bounded_batches(docs.sparkSession)
     path = path or default_vocabulary()
     keep = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
     fields = [docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False))]

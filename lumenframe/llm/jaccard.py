@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.arrowtext import pieces
+from lumenframe.llm.arrowtext import bounded_batches, pieces
 from lumenframe.llm.bloom import only, without
 from lumenframe.llm.components import connected_components
 from lumenframe.llm.scratch import discard, materialize
@@ -193,6 +193,7 @@ def dealt(rows: DataFrame, percent: int, everywhere: bool) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (the smallest id of the same set)."""
+    bounded_batches(docs.sparkSession)
     bits = counter_bits(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     measured = materialize(measure(docs, width, bits), "jaccard-sets")
