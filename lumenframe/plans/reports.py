@@ -112,9 +112,9 @@ WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVIN
 GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")
 
 FLIGHT = "{lineitem} JOIN {orders} ON l_orderkey = o_orderkey"
-sql("ssb_1_1", f"SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM {FLIGHT} WHERE year(o_orderdate) = 1993 AND l_discount BETWEEN 0.0099 AND 0.0301 AND l_quantity < 25")
-sql("ssb_1_2", f"SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM {FLIGHT} WHERE year(o_orderdate) = 1994 AND month(o_orderdate) = 1 AND l_discount BETWEEN 0.0399 AND 0.0601 AND l_quantity BETWEEN 26 AND 35")
-sql("ssb_1_3", f"SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM {FLIGHT} WHERE weekofyear(o_orderdate) = 6 AND year(o_orderdate) = 1994 AND l_discount BETWEEN 0.0499 AND 0.0701 AND l_quantity BETWEEN 20 AND 35")
+sql("ssb_1_1", f"SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM {FLIGHT} WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.0099 AND 0.0301 AND l_quantity < 25")
+sql("ssb_1_2", f"SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM {FLIGHT} WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-02-01' AND l_discount BETWEEN 0.0399 AND 0.0601 AND l_quantity BETWEEN 26 AND 35")
+sql("ssb_1_3", f"SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM {FLIGHT} WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND weekofyear(o_orderdate) = 6 AND l_discount BETWEEN 0.0499 AND 0.0701 AND l_quantity BETWEEN 20 AND 35")
 PARTS = FLIGHT + " JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} sn ON s_nationkey = sn.n_nationkey JOIN {region} sr ON sn.n_regionkey = sr.r_regionkey"
 BY_BRAND = "SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, CAST(year(o_orderdate) AS BIGINT) AS d_year, p_brand FROM " + PARTS
 sql("ssb_2_1", f"{BY_BRAND} WHERE p_brand LIKE 'Brand#1%' AND sr.r_name = 'AMERICA' GROUP BY year(o_orderdate), p_brand")
@@ -124,16 +124,62 @@ TRADE = FLIGHT + (
     " JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} cn ON c_nationkey = cn.n_nationkey JOIN {nation} sn ON s_nationkey = sn.n_nationkey"
     " JOIN {region} cr ON cn.n_regionkey = cr.r_regionkey JOIN {region} sr ON sn.n_regionkey = sr.r_regionkey")
 BY_NATION = "SELECT cn.n_name AS c_nation, sn.n_name AS s_nation, CAST(year(o_orderdate) AS BIGINT) AS d_year, round(sum(l_extendedprice), 4) AS revenue FROM " + TRADE
-sql("ssb_3_1", f"{BY_NATION} WHERE cr.r_name = 'ASIA' AND sr.r_name = 'ASIA' AND year(o_orderdate) BETWEEN 1992 AND 1997 GROUP BY cn.n_name, sn.n_name, year(o_orderdate)")
+sql("ssb_3_1", f"{BY_NATION} WHERE cr.r_name = 'ASIA' AND sr.r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1992-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY cn.n_name, sn.n_name, year(o_orderdate)")
 sql("ssb_3_2", f"{BY_NATION} WHERE cn.n_name = 'NATION_3' AND sn.n_name = 'NATION_3' GROUP BY cn.n_name, sn.n_name, year(o_orderdate)")
 sql("ssb_3_3", f"{BY_NATION} WHERE cn.n_name IN ('NATION_3', 'NATION_7') AND sn.n_name IN ('NATION_3', 'NATION_8', 'NATION_2') GROUP BY cn.n_name, sn.n_name, year(o_orderdate)")
 sql("ssb_3_4", f"{BY_NATION} WHERE cr.r_name = 'EUROPE' AND sr.r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1997-12-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY cn.n_name, sn.n_name, year(o_orderdate)")
 PROFIT = TRADE + " JOIN {part} ON l_partkey = p_partkey"
 GAIN = "round(sum(l_extendedprice * (1 - l_discount) - 0.5 * p_retailprice * l_quantity), 4) AS profit FROM " + PROFIT
 sql("ssb_4_1", f"SELECT CAST(year(o_orderdate) AS BIGINT) AS d_year, cn.n_name AS c_nation, {GAIN} WHERE cr.r_name = 'AMERICA' AND sr.r_name = 'AMERICA' GROUP BY year(o_orderdate), cn.n_name")
-sql("ssb_4_2", f"SELECT CAST(year(o_orderdate) AS BIGINT) AS d_year, sn.n_name AS s_nation, p_type, {GAIN} WHERE cr.r_name = 'AMERICA' AND year(o_orderdate) IN (1997, 1998) GROUP BY year(o_orderdate), sn.n_name, p_type")
+sql("ssb_4_2", f"SELECT CAST(year(o_orderdate) AS BIGINT) AS d_year, sn.n_name AS s_nation, p_type, {GAIN} WHERE cr.r_name = 'AMERICA' AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' GROUP BY year(o_orderdate), sn.n_name, p_type")
 sql("ssb_4_3", f"SELECT CAST(year(o_orderdate) AS BIGINT) AS d_year, s_name, p_brand, {GAIN} WHERE sr.r_name = 'AMERICA' AND p_brand LIKE 'Brand#1%' GROUP BY year(o_orderdate), s_name, p_brand")
 
+sql("q2_least_price", """
+SELECT s_acctbal, s_name, n_name, p_partkey, p_brand, l_extendedprice FROM {part} JOIN {lineitem} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey
+JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+WHERE p_size = 15 AND r_name = 'EUROPE' AND l_extendedprice = (
+  SELECT min(m.l_extendedprice) FROM {lineitem} m JOIN {supplier} b ON b.s_suppkey = m.l_suppkey JOIN {nation} c ON b.s_nationkey = c.n_nationkey JOIN {region} d ON c.n_regionkey = d.r_regionkey
+  WHERE m.l_partkey = p_partkey AND d.r_name = 'EUROPE')
+ORDER BY s_acctbal DESC, n_name, s_name, p_partkey, l_extendedprice LIMIT 100""")
+sql("q4_order_priority", """
+SELECT o_orderpriority, count(*) AS order_count FROM {orders} WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'
+AND EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 40) GROUP BY o_orderpriority""")
+sql("q9_product_profit", """
+SELECT n_name, CAST(year(o_orderdate) AS BIGINT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.5 * p_retailprice * l_quantity), 4) AS profit
+FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {orders} ON o_orderkey = l_orderkey JOIN {nation} ON s_nationkey = n_nationkey
+WHERE p_name LIKE '%ring%' GROUP BY n_name, year(o_orderdate)""")
+sql("q11_important_parts", """
+SELECT l_partkey, round(sum(l_extendedprice), 4) AS value FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_1', 'NATION_3')
+GROUP BY l_partkey HAVING sum(l_extendedprice) > (
+  SELECT 2 * avg(v) FROM (SELECT sum(l_extendedprice) AS v FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_1', 'NATION_3') GROUP BY l_partkey) t)""")
+sql("q12_line_status", """
+SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count,
+       CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count
+FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_returnflag IN ('A', 'R') AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'
+GROUP BY l_linestatus""")
+sql("q16_part_suppliers", """
+SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
+WHERE p_brand <> 'Brand#5' AND p_type NOT LIKE 'PROMO%' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49) AND l_suppkey NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal < 1000)
+GROUP BY p_brand, p_type, p_size""")
+sql("q19_discounted_revenue", """
+SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
+WHERE (p_brand = 'Brand#1' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15) OR (p_brand = 'Brand#2' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30)
+   OR (p_brand = 'Brand#3' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45)""")
+sql("q20_part_promotion", """
+SELECT s_name, s_acctbal FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE n_regionkey = 1 AND s_suppkey IN (
+  SELECT l_suppkey FROM {lineitem} o WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_name LIKE 'small%')
+  AND l_quantity > (SELECT 1.5 * avg(i.l_quantity) FROM {lineitem} i WHERE i.l_partkey = o.l_partkey AND i.l_shipdate >= TIMESTAMP '1994-01-01'))""")
+sql("q21_waiting_suppliers", """
+SELECT s_name, count(*) AS numwait FROM {supplier} JOIN {lineitem} a ON s_suppkey = a.l_suppkey JOIN {orders} ON o_orderkey = a.l_orderkey JOIN {nation} ON s_nationkey = n_nationkey
+WHERE o_orderstatus = 'F' AND a.l_shipdate > o_orderdate AND n_name IN ('NATION_3', 'NATION_15')
+AND EXISTS (SELECT 1 FROM {lineitem} b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey)
+AND NOT EXISTS (SELECT 1 FROM {lineitem} c WHERE c.l_orderkey = a.l_orderkey AND c.l_suppkey <> a.l_suppkey AND c.l_returnflag = 'R')
+GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""")
+sql("q22_idle_customers", """
+SELECT c_mktsegment, count(*) AS numcust, round(sum(c_acctbal), 4) AS totacctbal FROM {customer}
+WHERE c_nationkey IN (1, 3, 5, 7, 11, 13, 17) AND c_acctbal > (SELECT avg(c_acctbal) FROM {customer} WHERE c_acctbal > 0 AND c_nationkey IN (1, 3, 5, 7, 11, 13, 17))
+AND NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY c_mktsegment""")
+
 sql("ds_class_share", """
 SELECT p_brand, p_type, revenue, round(revenue * 100 / sum(revenue) OVER (PARTITION BY p_type), 6) AS share
 FROM (SELECT p_brand, p_type, round(sum(l_extendedprice), 4) AS revenue FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, p_type) t""")

@@ -69,3 +69,28 @@ def stream_stateless(spark, sf_dir):
 def stream_static_join(spark, sf_dir):
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), "c_name")
     return run_to_end(_events(spark, sf_dir).join(customer, "user_id").select("event_id", "c_name"))
+
+
+@query("""WITH c AS (SELECT * FROM events WHERE event_type = 'click'), p AS (SELECT * FROM events WHERE event_type = 'purchase'),
+w AS (SELECT least((SELECT max(ts) FROM c), (SELECT max(ts) FROM p)) - INTERVAL 1 DAY AS mark)
+SELECT c.event_id AS a_id, p.event_id AS b_id FROM c LEFT JOIN p ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 2 HOUR CROSS JOIN w
+WHERE p.event_id IS NOT NULL OR c.ts + INTERVAL 2 HOUR < mark""")
+def stream_outer_join(spark, sf_dir):
+    """Clicks without a purchase come out once the watermark has passed their time for one."""
+    events = _events(spark, sf_dir)
+    return run_to_end(S.followed_by(events.where("event_type = 'click'"), events.where("event_type = 'purchase'"), "2 HOURS", how="left_outer"))
+
+
+@query("SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
+def stream_self_join(spark, sf_dir):
+    return run_to_end(S.followed_by(_events(spark, sf_dir), _events(spark, sf_dir), "1 HOUR").where("a_id <> b_id"))
+
+
+@query("SELECT user_id, count(*) AS n, max(ts) AS seen FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 12 HOUR < (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def stream_state_timeout(spark, sf_dir):
+    return run_to_end(S.idle_users(_events(spark, sf_dir), 12))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01 06:00:00') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_window_offset(spark, sf_dir):
+    return run_to_end(S.windowed_counts(_events(spark, sf_dir), "1 day", "1 day", offset="6 hours"), "complete")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 day", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    """Counts and sums by tumbling or sliding windows; rows later than ``late`` are dropped."""
-    at = F.window("ts", width, slide) if slide else F.window("ts", width)
+def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 day", by: tuple[str, ...] = ("event_type",), offset: str | None = None) -> DataFrame:
+    """Counts and sums by tumbling or sliding windows that begin ``offset`` after the epoch's; rows later
+    than ``late``, and those without a time, are dropped."""
+    at = F.window("ts", width, slide, offset) if slide else F.window("ts", width, startTime=offset)
     return (
         events.withWatermark("ts", late).groupBy(at.alias("w"), *by)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
@@ -53,3 +54,26 @@ def totals_by_user(events: DataFrame) -> DataFrame:
 
     return events.groupBy("user_id").applyInPandasWithState(
         update, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+def idle_users(events: DataFrame, hours: int, late: str = "1 day") -> DataFrame:
+    """Users, with the number and time of their events, once the watermark is ``hours`` past the last."""
+    wait = hours * 3_600_000
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "seen": [pd.Timestamp(last)]})
+            return
+        for rows in batches:
+            at = rows["ts"].max().to_datetime64()
+            n, last = n + len(rows), at if last is None else max(pd.Timestamp(last).to_datetime64(), at)
+        last = pd.Timestamp(last)
+        state.update((n, last.to_pydatetime()))
+        state.setTimeoutTimestamp(max(int(last.value // 1_000_000) + wait, state.getCurrentWatermarkMs() + 1))
+        yield from ()
+
+    found = events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
+        update, "user_id long, n long, seen timestamp", "n long, last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("user_id", "n", F.col("seen").cast("timestamp_ntz").alias("seen"))

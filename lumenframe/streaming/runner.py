@@ -24,7 +24,8 @@ def open_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files:
     which is then picked from its folder, as the source watches folders only."""
     held = spark.read.format(fmt).options(**options).load(path)
     folder, _, name = path.rstrip("/").rpartition("/")
-    if all(f.rstrip("/").endswith(f"/{name}") for f in held.inputFiles()):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
         path, options = folder, options | {"pathGlobFilter": name}
     return spark.readStream.format(fmt).schema(held.schema).option("maxFilesPerTrigger", max_files).options(**options).load(path)
 

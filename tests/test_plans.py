@@ -67,3 +67,25 @@ def test_chained_arrow_functions_run_once(spark, sf_dir):
 
 def test_mapped_function_stays_in_the_jvm(spark, sf_dir):
     assert "Python" not in plan(QUERIES["udf_urldecoder"](spark, sf_dir))
+
+
+def test_runtime_filter_prunes_partitions(spark, sf_dir, tmp_path):
+    """The small side's filter reaches the partitioned side's scan at run time."""
+    table(spark, sf_dir, "orders").write.partitionBy("o_orderpriority").parquet(str(tmp_path / "orders"))
+    orders = spark.read.parquet(str(tmp_path / "orders"))
+    wanted = spark.createDataFrame([("1-URGENT", 1), ("5-LOW", 2)], "o_orderpriority string, k int").write
+    wanted.parquet(str(tmp_path / "wanted"))
+    joined = orders.join(spark.read.parquet(str(tmp_path / "wanted")).where("k = 1"), "o_orderpriority")
+    assert "dynamicpruning" in plan(joined)
+    assert {r.o_orderpriority for r in joined.collect()} == {"1-URGENT"}
+
+
+@pytest.mark.parametrize("name", ["ssb_1_1", "ssb_1_2", "ssb_1_3", "ssb_3_1", "ssb_4_2", "q4_order_priority"])
+def test_dates_reach_the_scan(spark, sf_dir, name):
+    assert "GreaterThanOrEqual(o_orderdate" in plan(QUERIES[name](spark, sf_dir))
+
+
+def test_not_in_is_an_anti_join(spark, sf_dir):
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    text = plan(J.not_in(nation, "n_nationkey", customer, "c_nationkey"))
+    assert "LeftAnti" in text and "NestedLoop" not in text
