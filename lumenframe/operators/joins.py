@@ -36,10 +36,10 @@ def not_in(left: DataFrame, column: str, right: DataFrame, right_column: str) ->
     """Rows whose value is NOT IN the right column, by SQL's rules: all rows if it is empty, none
     if it holds a NULL, never rows whose own value is NULL (unless it is empty).
 
-    The right side's two facts are scalar subqueries of the same plan, so the join itself stays an
+    The right side's two facts are a scalar subquery of the same plan, so the join itself stays an
     equi anti join, which scales where a nested-loop NOT IN does not."""
-    facts = right.agg(F.count(F.lit(1)).alias("n"), F.count(right_column).alias("known"))
-    empty, whole = facts.select(F.col("n") == 0).scalar(), facts.select(F.col("known") == F.col("n")).scalar()
+    facts = right.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(right_column).alias("known")).alias("facts")).scalar()
+    empty, whole = facts["n"] == 0, facts["known"] == facts["n"]
     keys = right.select(F.col(right_column).alias(column)).distinct()
     return left.where(empty | (whole & F.col(column).isNotNull())).join(keys, column, "left_anti").select(*left.columns)
 
