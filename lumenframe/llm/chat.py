@@ -11,9 +11,14 @@ Control strings inside texts and roles are escaped reversibly: a "<", any backsl
 get one more backslash, so no text holds "<|". In roles, "\\" and line ends are escaped as well.
 
 Defined cases: a null text or role is empty; messages whose parent is null or absent are roots;
-messages on a cycle of parents have no root and no path; equal rows of a tree are one message; all
-messages of a null tree are one tree; ties between branches go to the smaller leaf; empty tables give empty results. Turns
-of ``conversations`` are ordered by turn (null last), role and text. Extra columns are ignored.
+messages on a cycle of parents have no root and no path; equal rows of a tree are one message, and of
+rows that share tree and message id but differ the smallest by parent, role, text and score (null
+first) is the message; all messages of a null tree are one tree; ties between branches go to the
+smaller leaf; very long texts are formatted whole; empty tables give empty results. Turns of
+``conversations`` are ordered by turn (null last), role and text. Extra columns are ignored.
+
+A chosen path is put together in one task, as its formatted text is one value; trees of any size are
+only joined.
 """
 
 from __future__ import annotations
@@ -121,8 +126,8 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 def format_messages(messages: DataFrame, per_tree: int = 1, learned: str = LEARNED) -> DataFrame:
     """Formats the best branches of reply trees: tree, message, parent, role, text, score."""
-    held = messages.select("tree", "message", "parent", "role", "text", "score").dropDuplicates(["tree", "message"])
-    held = materialize(held, "chat-messages")
+    one = F.min(F.struct("parent", "role", "text", "score")).alias("one")
+    held = materialize(messages.groupBy("tree", "message").agg(one).select("tree", "message", "one.*"), "chat-messages")
     return format_paths(chosen_paths(held, per_tree), held, learned)
 
 

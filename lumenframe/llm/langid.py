@@ -7,7 +7,8 @@ each bit a weight from its error rate. Decoding sums the weighted losses against
 and takes the least; a text whose best two codewords are close is flagged as ambiguous.
 
 Training reads a bounded sample: about ``SAMPLE`` whole documents of each language, chosen by a
-hash of id and text. Counting and predicting take whole texts. The language table and the weights
+hash of id and text. A value of lang is a language; they are taken to be few, as each has a column of
+the tables. Counting and predicting take whole texts. The language table and the weights
 have sizes set by parameters and the number of languages, not by the documents.
 
 Defined cases: a text that is null or has no letter gets "und" with score 0; with no labelled
@@ -126,12 +127,9 @@ def labelled(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str,
     """lang and text of about ``sample`` documents of each language."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(23), "id", "text"), 11) / float(1 << 53)
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (draw < min(1.0, sample / n)))
-    return rows.where(keep).select("lang", "text")
+    return rows.join(counts, "lang").where(draw * F.col("n") < sample).select("lang", "text")
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,7 +69,8 @@ def conversations(spark, rows):
 def test_conversations_with_gaps_nulls_and_repeats(spark):
     rows = [(1, 5, "assistant", "b"), (1, 2, "user", None), (1, 9, None, "c"), (1, 9, None, "c"), (1, None, "user", "last"), (2, 0, "assistant", "x" * 100_000), (None, 0, "user", "q")]
     df = conversations(spark, rows).withColumn("tree", F.lit("clash")).withColumn("score", F.lit(1))
-    got = {r.conv_id: r for r in chat.digests(chat.format_messages(chat.conversation_messages(df.where("conv_id is not null")))).collect()}
+    got = {r.conv_id: r for r in chat.digests(chat.format_messages(chat.conversation_messages(df))).collect()}
+    assert got[None].n_turns == 1
     assert got[1].n_turns == 5 and got[1].loss_chars == 1 and got[2].loss_chars == 100_000
     assert chat.format_messages(chat.conversation_messages(df.limit(0))).count() == 0
 
@@ -97,5 +98,13 @@ def test_branches_of_a_tree_without_id(spark):
     assert {(r.tree, r.branch): [int(t[1:]) for _, t in chat.read_turns(r.formatted)] for r in out} == want
 
 
+def test_messages_that_share_an_id(spark):
+    """The smallest of them is the message, whatever the order of rows."""
+    rows = [(1, 0, None, "user", "b", 1.0), (1, 0, None, "user", "a", 2.0), (1, 0, None, "user", None, 0.0), (1, 1, 0, "assistant", "x", 0.0), (1, 1, 0, "assistant", "x", 0.0)]
+    for shuffled in (rows, rows[::-1]):
+        out = chat.format_messages(spark.createDataFrame(shuffled, TREE)).collect()
+        assert [chat.read_turns(r.formatted) for r in out] == [[("user", ""), ("assistant", "x")]]
+
+
 def test_query(spark, sf_dir):
     assert spark_rows(chat.op1_chat_format(spark, sf_dir)) == duck_rows(connect(sf_dir), chat.ORACLES["op1_chat_format"])

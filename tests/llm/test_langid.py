@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -82,6 +83,60 @@ def test_margins_do_not_cross_documents(docs):
         assert np.allclose(whole[i], model.margins(raw, np.array([0, len(raw)]))[0], atol=1e-6)
 
 
+def by_hand(model, text):
+    """(language, score) of one text, gram by gram, without arrays of texts."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+    total, count = [0.0] * model.code.shape[1], 0
+    for o, order in enumerate((2, 3, 4)):
+        for i in range(len(raw) - order + 1):
+            code = int.from_bytes(bytes(raw[i : i + order]), "big") & 0xFFFFFFFF
+            at = code if order == 2 else (code * 2654435761 & 0xFFFFFFFF) >> 16
+            count += 1
+            for b in range(len(total)):
+                total[b] += float(model.weights[(o << 16) + at, b])
+    f = [t / max(count, 1) * model.scale[b] + model.shift[b] for b, t in enumerate(total)]
+    loss = [sum(model.trust[b] * math.log1p(math.exp(-f[b] * word[b])) for b in range(len(f))) for word in model.code]
+    share = [math.exp(-x) for x in loss]
+    best = min(range(len(loss)), key=loss.__getitem__)
+    return model.languages[best], share[best] / sum(share)
+
+
+def test_predictions_match_plain_python(docs):
+    model = langid.fit(training(docs), F.lit(True))
+    texts = [None, "", "12", "a", "x y", "über", text(EN, 3), text(DE, 4), text(FI, 5, 3), text(EN, 6, 8) + " " + text(FI, 7, 9), "É!", "w " * 30_000 + text(DE, 9, 2000)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        lang, score = by_hand(model, t)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-6)
+
+
+def test_weights_match_counts_by_hand(docs):
+    """The classifiers' tables from counts of grams in plain Python."""
+    rows = [(i, text(w, i, 12), "s", lang) for i, (lang, w) in enumerate([("en", EN), ("de", DE), ("fi", FI)] * 20)]
+    model = langid.fit(docs(rows), F.lit(True))
+    assert model.languages == ["de", "en", "fi"]
+    counts = np.full((3, 3 << 16), 0.5)
+    for _, t, _, lang in rows:
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in t.encode())
+        for o, order in enumerate((2, 3, 4)):
+            for i in range(len(raw) - order + 1):
+                code = int.from_bytes(raw[i : i + order], "big")
+                counts[model.languages.index(lang), (o << 16) + (code if order == 2 else (code * 2654435761 & 0xFFFFFFFF) >> 16)] += 1
+    for o in range(3):
+        counts[:, o << 16 : (o + 1) << 16] /= counts[:, o << 16 : (o + 1) << 16].sum(axis=1, keepdims=True)
+    for b in range(model.code.shape[1]):
+        want = np.log(counts[model.code[:, b] > 0].mean(axis=0)) - np.log(counts[model.code[:, b] < 0].mean(axis=0))
+        assert np.allclose(model.weights[:, b], want, atol=1e-5)
+
+
+def test_many_values_of_lang(docs):
+    """Labels of which there are dozens are languages all the same."""
+    rows = [(i, text(EN, i), "s", f"l{i % 40}") for i in range(200)]
+    assert len(langid.fit(docs(rows), F.lit(True)).languages) == 40
+
+
 def test_held_out_accuracy(spark):
     """On the driver's documents, of texts with three words or more."""
     sf_dir = "/root/testdata/sf0.01"
