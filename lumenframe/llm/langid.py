@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm.arrowtext import pieces
+from lumenframe.llm.scratch import materialize
 
 ORDERS = (2, 3, 4)
 BITS = 16
@@ -127,7 +128,8 @@ def labelled(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str,
     """lang and text of about ``sample`` documents of each language."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # written, so that the planner sees how small it is and the texts are not exchanged
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-counts")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(23), "id", "text"), 11) / float(1 << 53)
     return rows.join(counts, "lang").where(draw * F.col("n") < sample).select("lang", "text")
 
