@@ -5,6 +5,7 @@ from __future__ import annotations
 from test_plans import plan
 from test_whole_tables import both
 
+from lumenframe.operators.joins import broadcast_if_small
 from lumenframe.plans.catalogue import QUERIES
 
 
@@ -15,3 +16,13 @@ def test_sketches_are_not_kept_by_distinct_value(spark, tmp_path):
     assert {(r.l_returnflag, r.parts) for r in rows} == {("A", 2), (None, 1)}
     sketched = [line for line in plan(QUERIES["agg_approx"](spark, str(tmp_path))).splitlines() if "percentile_approx" in line]
     assert sketched and not any("l_partkey" in line[line.index("keys=") : line.index("functions=")] for line in sketched)
+
+
+def test_sides_too_large_for_a_driver_are_not_marked(spark, tmp_path):
+    """Three narrow columns of a file over the limit; in memory they would take a driver's whole heap."""
+    side = spark.range(2_000_000).selectExpr("id AS o_orderkey", "xxhash64(id) AS o_custkey", "rand(1) AS o_totalprice")
+    side.coalesce(2).write.parquet(f"{tmp_path}/orders.parquet")
+    read = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    assert broadcast_if_small(read) is read
+    spark.range(9).selectExpr("id AS c_custkey", "CAST(id AS STRING) AS c_name", "1D AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    assert "BroadcastHashJoin" not in plan(QUERIES["join_bhj_left"](spark, str(tmp_path)))
