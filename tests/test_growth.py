@@ -26,3 +26,17 @@ def test_sides_too_large_for_a_driver_are_not_marked(spark, tmp_path):
     assert broadcast_if_small(read) is read
     spark.range(9).selectExpr("id AS c_custkey", "CAST(id AS STRING) AS c_name", "1D AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
     assert "BroadcastHashJoin" not in plan(QUERIES["join_bhj_left"](spark, str(tmp_path)))
+
+
+def test_pairs_of_one_large_group(spark, tmp_path):
+    """More keys than a block holds, in one group; equal keys, nulls and a lone row make no pair."""
+    keys = [*range(600), 5, 5, None, 7000]
+    columns = {"c_custkey": keys, "c_nationkey": [1] * 601 + [None, 1, 2], "c_mktsegment": ["M"] * 604}
+    rows = both(spark, tmp_path, "join_self", "customer", columns)
+    assert len(rows) == 600 * 599 // 2 + 599
+
+
+def test_pairs_are_dealt_by_blocks(spark, sf_dir):
+    made = plan(QUERIES["join_self"](spark, sf_dir))
+    last = next(line for line in made.splitlines() if "Exchange" in line)
+    assert "_block" in last and "_other" in last
