@@ -29,7 +29,11 @@ sql("agg_correlation", "SELECT round(corr(l_quantity, l_extendedprice), 8) AS r,
 sql("agg_bool", "SELECT c_mktsegment, bool_and(c_acctbal > -900) AS every_, bool_or(c_acctbal > 9000) AS any_, count_if(c_acctbal > 0) AS n FROM {customer} GROUP BY c_mktsegment",
     "SELECT c_mktsegment, bool_and(c_acctbal > -900) AS every_, bool_or(c_acctbal > 9000) AS any_, count(*) FILTER (WHERE c_acctbal > 0) AS n FROM {customer} GROUP BY c_mktsegment")
 sql("agg_bits", "SELECT c_nationkey, bit_and(c_custkey) AS a, bit_or(c_custkey) AS o, bit_xor(c_custkey) AS x FROM {customer} GROUP BY c_nationkey")
-sql("agg_max_by", "SELECT c_nationkey, max_by(c_name, c_acctbal) AS richest, min_by(c_name, c_acctbal) AS poorest FROM {customer} GROUP BY c_nationkey")
+# of equal balances the smallest key's name; rows without a name or a balance do not count
+sql("agg_max_by", """
+SELECT c_nationkey, max_by(c_name, named_struct('balance', c_acctbal, 'first', -c_custkey)) FILTER (WHERE c_name IS NOT NULL AND c_acctbal IS NOT NULL) AS richest,
+       min_by(c_name, named_struct('balance', c_acctbal, 'first', c_custkey)) FILTER (WHERE c_name IS NOT NULL AND c_acctbal IS NOT NULL) AS poorest
+FROM {customer} GROUP BY c_nationkey""", "SELECT c_nationkey, max_by(c_name, c_acctbal) AS richest, min_by(c_name, c_acctbal) AS poorest FROM {customer} GROUP BY c_nationkey")
 sql("agg_percentile", "SELECT l_returnflag, percentile(l_quantity, 0.5) AS med, percentile(l_extendedprice, 0.9) AS p90 FROM {lineitem} GROUP BY l_returnflag",
     "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med, quantile_cont(l_extendedprice, 0.9) AS p90 FROM {lineitem} GROUP BY l_returnflag")
 sql("agg_collect", "SELECT n_regionkey, sort_array(collect_list(n_name)) AS names, sort_array(collect_set(n_nationkey % 3)) AS rests FROM {nation} GROUP BY n_regionkey",

@@ -40,3 +40,11 @@ def test_pairs_are_dealt_by_blocks(spark, sf_dir):
     made = plan(QUERIES["join_self"](spark, sf_dir))
     last = next(line for line in made.splitlines() if "Exchange" in line)
     assert "_block" in last and "_other" in last
+
+
+def test_first_of_equal_balances(spark, tmp_path):
+    columns = {"c_custkey": [3, 4, 5, 6, 7, 8, 9], "c_name": ["b", "a", "c", None, "d", "e", None], "c_nationkey": [1, 1, 1, 1, 1, 1, 2], "c_acctbal": [9.0, 9.0, 9.0, 10.0, None, 9.0, 1.0]}
+    rows = both(spark, tmp_path, "agg_max_by", "customer", columns)
+    assert {tuple(r) for r in rows} == {(1, "b", "b"), (2, None, None)}
+    spark.read.parquet(f"{tmp_path}/customer.parquet").orderBy("c_name").coalesce(1).write.parquet(f"{tmp_path}/again/customer.parquet")
+    assert {tuple(r) for r in QUERIES["agg_max_by"](spark, f"{tmp_path}/again").collect()} == {(1, "b", "b"), (2, None, None)}
