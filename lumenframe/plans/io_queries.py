@@ -9,6 +9,15 @@ from lumenframe.sources.formats import create_table, read, write
 from lumenframe.sources.io import register, table
 from lumenframe.streaming.runner import work_dir
 
+#: Rows in one bucket, on average. One task reads and sorts a bucket, so buckets grow in number and not in size.
+BUCKET_ROWS = 1_000_000
+
+
+def buckets(rows: int) -> int:
+    """How many buckets a table of so many rows gets: 4 at least, and as many as Spark allows at most."""
+    return min(100_000, max(4, -(-rows // BUCKET_ROWS)))
+
+
 NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
 
@@ -82,9 +91,11 @@ def io_bucketed_join(spark, sf_dir):
     names = ("lumen_orders_b", "lumen_lineitem_b")
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     lineitem = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    n = buckets(max(orders.count(), lineitem.count()))  # told by the files' footers
     for name, df in zip(names, (orders, lineitem)):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        create_table(df, name, bucket_by=(4, ("o_orderkey",)), path=f"{work_dir(spark)}/{name}")
+        # dealt like the buckets, so that each is one file
+        create_table(df.repartition(n, "o_orderkey"), name, bucket_by=(n, ("o_orderkey",)), path=f"{work_dir(spark)}/{name}")
     return spark.table(names[0]).join(spark.table(names[1]), "o_orderkey").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 

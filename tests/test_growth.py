@@ -5,11 +5,14 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
+from compare import connect, duck_rows, spark_rows
 from test_plans import plan
 from test_whole_tables import both
 
 from lumenframe.operators.joins import broadcast_if_small
-from lumenframe.plans.catalogue import QUERIES
+from lumenframe.plans import io_queries
+from lumenframe.plans.catalogue import ORACLES, QUERIES
+from lumenframe.sources.io import table
 
 
 def test_sketches_are_not_kept_by_distinct_value(spark, tmp_path):
@@ -59,3 +62,20 @@ def test_names_of_one_digest_are_all_counted(spark, tmp_path):
     columns = {"c_name": pa.array(names), "c_nationkey": pa.array([1, 1, 2, 2, 3], pa.int32())}
     assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
     assert [tuple(r) for r in both(spark, tmp_path, "digest_hash", "customer", columns)] == [(5, 5, 5, 5)]
+
+
+def test_buckets_grow_in_number(spark, sf_dir, monkeypatch):
+    rows = table(spark, sf_dir, "lineitem").count()
+    monkeypatch.setattr(io_queries, "BUCKET_ROWS", -(-rows // 12))
+    n = io_queries.buckets(rows)
+    assert n > 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["io_bucketed_join"](spark, sf_dir)
+        made = plan(df)
+        assert made.count(f"SelectedBucketsCount: {n} out of {n}") == 2 and "Exchange" not in made
+        assert spark_rows(df) == duck_rows(connect(sf_dir), ORACLES["io_bucketed_join"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.undo()
+    assert [io_queries.buckets(n) for n in (0, 4_000_001, 10**12)] == [4, 5, 100_000]
